@@ -25,3 +25,33 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df):
+    """Checkpoint ``df`` reliably: lineage ends, and the rows survive lost executors.
+
+    The folder is the session's ``spark.checkpoint.dir``; only a local session
+    without one gets a temporary folder.
+    """
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            at = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+        sc.setCheckpointDir(at)
+    return df.checkpoint(eager=True)
+
+
+#: Rows up to which a side is broadcast by hint; a larger one is left to the planner.
+BROADCAST_ROWS = 200_000
+
+
+def small(df, rows: int = BROADCAST_ROWS):
+    """``df`` with a broadcast hint if a bounded count shows that it is small."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
