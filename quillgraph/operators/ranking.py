@@ -51,7 +51,8 @@ def mtimes(nodes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 def recency(now: float, half_life_days: float = 30.0):
     """exp(-age / half life); an unknown time gives 0.5, a time ahead counts as now. At the half life it is 1/e."""
     age = F.greatest(F.lit(0.0), (F.lit(float(now)) - F.col("mtime")) / 86400.0)
-    return F.coalesce(F.exp(-age / F.lit(float(half_life_days))), F.lit(0.5))
+    # greatest() skips nulls, so an unknown time is told apart first
+    return F.when(F.col("mtime").isNull(), 0.5).otherwise(F.exp(-age / F.lit(float(half_life_days))))
 
 
 def hybrid(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, candidates: DataFrame, query: list[float], depth: int = 2, weights: Weights | None = None, now: float | None = None, half_life_days: float = 30.0, prefer: str = "pagerank") -> DataFrame:

@@ -116,7 +116,7 @@ def _filter(name, wanted, sql, k=0):
 
 _filter("filter_attrs", {"type": "order", "lang": "1-URGENT", "color": "red"}, "SELECT uid, name FROM nodes WHERE type = 'order' AND lang = '1-URGENT'")
 _filter("filter_glob", {"path_glob": "shard/1?.t*"}, "SELECT uid, name FROM nodes WHERE type <> 'file' AND file_uid GLOB 'shard/1?.t*'")
-_filter("filter_since", {"since": "1998-07-01"}, "SELECT n.uid, n.name FROM nodes n JOIN nodes f ON f.type = 'file' AND f.uid = n.file_uid WHERE n.type <> 'file' AND f.mtime >= epoch(TIMESTAMP '1998-07-01')")
+_filter("filter_since", {"since": "2001-07-20"}, "SELECT n.uid, n.name FROM nodes n JOIN nodes f ON f.type = 'file' AND f.uid = n.file_uid WHERE n.type <> 'file' AND f.mtime >= epoch(TIMESTAMP '2001-07-20')")
 _filter("filter_truncated", {"type": "part"}, "SELECT uid, name FROM nodes WHERE type = 'part' ORDER BY uid LIMIT 11", 10)
 
 
@@ -264,7 +264,7 @@ def minmax_signal(spark, sf):
     return ranking.minmax(_read(spark, sf, "supplier"), "s_acctbal", "signal").select("s_suppkey", F.round("signal", 9).alias("signal"))
 
 
-_REC = "clock AS (SELECT max(mtime) AS now FROM nodes), rec AS (SELECT n.id, exp(-greatest(0, (now - coalesce(n.mtime, f.mtime)) / 86400) / 30) AS r FROM clock, nodes n LEFT JOIN nodes f ON f.type = 'file' AND f.uid = n.file_uid)"
+_REC = "clock AS (SELECT max(mtime) AS now FROM nodes), rec AS (SELECT n.id, CASE WHEN coalesce(n.mtime, f.mtime) IS NOT NULL THEN exp(-greatest(0, (now - coalesce(n.mtime, f.mtime)) / 86400) / 30) END AS r FROM clock, nodes n LEFT JOIN nodes f ON f.type = 'file' AND f.uid = n.file_uid)"
 
 
 @query("recency_decay", _REC + " SELECT uid, round(coalesce(r, 0.5), 9) AS recency FROM rec JOIN nodes USING (id)")
