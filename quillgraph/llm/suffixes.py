@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import checked_broadcast, id_text, stored, text_of
+from .common import id_text, stored, text_of
 
 MIN_WORDS = 50
 GRAM = 14
@@ -78,7 +78,7 @@ def anchor_table(docs: DataFrame, least: int = MIN_WORDS, k: int = GRAM) -> Data
 
 def stretches(docs: DataFrame, met: DataFrame, least: int = MIN_WORDS, k: int = GRAM) -> DataFrame:
     """(gram, doc_id, start, at, words): the words that the suffixes of each wanted anchor reach over."""
-    lists = checked_broadcast(met.groupBy("doc_id").agg(F.collect_set("at").alias("ats")), met.count())
+    lists = met.groupBy("doc_id").agg(F.collect_set("at").alias("ats")).hint("merge")  # the lists grow with the documents
 
     def run(batches):
         for batch in batches:
