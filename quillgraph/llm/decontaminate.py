@@ -24,6 +24,7 @@ either side gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -149,14 +150,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, share:
     keys = items.groupBy("gram").agg(F.min("gram_words").alias("size"))
     n = keys.count()
     blocks = max(1, math.ceil(n / BLOCK))
-    found = None
+    found = []
     for b in range(blocks):
         part = keys.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b).toPandas()
-        hits = occurrences(docs, part["gram"].to_numpy(np.int64).view(np.uint64), sorted(set(part["size"]))) if len(part) else None
-        found = hits if found is None else found.unionByName(hits) if hits is not None else found
-    if found is None:
+        if len(part):
+            # each scan is written by itself: row numbers agree between scans, not between parts of a union
+            found.append(stored(occurrences(docs, part["gram"].to_numpy(np.int64).view(np.uint64), sorted(set(part["size"]))), "occurrences"))
+    if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, shingles long, containment double, word_at long")
-    found = stored(found, "occurrences")
+    found = reduce(DataFrame.unionByName, found)
     rarity = found.groupBy("gram").agg(F.countDistinct("row").alias("df"))
     need = F.ceil(F.col("n") * share - 1e-9)
     order = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "gram"))
