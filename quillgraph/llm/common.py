@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _SETTING = "spark.checkpoint.dir"
 
 
@@ -62,6 +64,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator reads, so that other columns can't clash."""
+    ship(docs.sparkSession)
     q = lambda c: F.col(f"`{c}`")
     return docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).cast("string").alias("text"), *(q(c) for c in more))
 

@@ -164,7 +164,7 @@ def confirm(text: str, at: int, to: int) -> list[tuple[str, str, int, int]]:
     if out:
         return out
     m = _ASSIGN.search(text[max(0, at - 80) : to])
-    value = m[2] if m else run.strip(".=-")
+    value = m[2] if m else run.lstrip(".=-").rstrip(".-")
     first = to - len(m[2]) if m else at + run.find(value)
     if re.fullmatch(r"(?:[0-9a-fA-F]{2})+", value):
         kind = key_kind(bytes.fromhex(value))

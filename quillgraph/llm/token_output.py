@@ -61,7 +61,7 @@ def encode(text: str, vocabulary: str, pattern: str = PATTERN) -> list[int]:
             raise
         import regex
 
-        return [i for m in regex.finditer(pattern, text) for i in enc.encode_single_piece(m.group())]
+        return [i for m in regex.finditer(pattern, text) for i in enc._encode_single_piece(m.group())]
 
 
 def id_type(end_id: int, vocabulary_size: int) -> np.dtype:

@@ -53,7 +53,7 @@ def test_other_pattern_engine_gives_the_same():
 
     enc = T.encoder(T.VOCABULARY)
     text = "It's  a   test\n\n of 123 words, été!  "
-    assert [i for m in regex.finditer(T.PATTERN, text) for i in enc.encode_single_piece(m.group())] == enc.encode_ordinary(text)
+    assert [i for m in regex.finditer(T.PATTERN, text) for i in enc._encode_single_piece(m.group())] == enc.encode_ordinary(text)
     assert enc.decode(T.encode(" " * 300_000 + "x", T.VOCABULARY)) == " " * 300_000 + "x"
 
 
