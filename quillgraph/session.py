@@ -24,6 +24,7 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -55,3 +56,22 @@ def small(df, rows: int = BROADCAST_ROWS):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Give this package to the session's Python workers, once; they need it wherever they run."""
+    import shutil
+    import tempfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(here)
+    if os.path.isdir(here):  # not when it runs from an archive, which Spark was given already
+        at = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name)
+        spark.sparkContext.addPyFile(at)
+    _SHIPPED.add(app)
