@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import id_text, stored, text_of, without_ids
+from .common import id_text, lean, stored, text_of, without_ids
 
 SHINGLE = 5
 SHARE = 0.8
@@ -62,7 +62,7 @@ def item_shingles(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
                     )
 
     items = id_text(benchmark, "item_id").where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    grams = items.mapInArrow(run, "item_id long, gram long, words long, gram_words long")
+    grams = items.mapInArrow(lean(run), "item_id long, gram long, words long, gram_words long")
     one = F.max("words").over(Window.partitionBy("item_id"))  # of several texts under one id the longest counts
     grams = grams.withColumn("most", one).where("words = most").drop("most").distinct()
     return grams.withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
@@ -91,7 +91,7 @@ def occurrences(docs: DataFrame, grams: np.ndarray, sizes: list[int]) -> DataFra
                     )
             row += len(batch)
 
-    return id_text(docs).mapInArrow(run, "row long, doc_id long, doc_words long, at long, gram long")
+    return id_text(docs).mapInArrow(lean(run), "row long, doc_id long, doc_words long, at long, gram long")
 
 
 def _best_windows(batches):
@@ -169,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, share:
     met = found.join(ranked.where("is_prefix = 1"), "gram").where("doc_words >= least(need, span + 1) + gram_words - 1").select("row", "item_id").distinct()
     rows = found.join(ranked, "gram").join(met, ["row", "item_id"], "left_semi")
     rows = rows.select("row", "doc_id", "item_id", "n", "span", "at", "gram", "is_prefix").repartition("row").sortWithinPartitions("row", "item_id", "at", "gram")
-    best = rows.mapInArrow(_best_windows, "doc_id long, item_id long, shingles long, matched long, word_at long")
+    best = rows.mapInArrow(lean(_best_windows), "doc_id long, item_id long, shingles long, matched long, word_at long")
     best = best.where(F.col("matched") >= F.ceil(F.col("shingles") * share - 1e-9)).where("doc_id is not null")
     best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("word_at")).alias("w"), "shingles")).alias("b"))
     return best.select("doc_id", "item_id", "b.matched", "b.shingles", F.round(F.col("b.matched") / F.col("b.shingles"), 6).alias("containment"), (-F.col("b.w")).alias("word_at"))

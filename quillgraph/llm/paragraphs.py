@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import checked_broadcast, components, id_text, stored, text_of
+from .common import checked_broadcast, components, id_text, lean, stored, text_of
 
 MIN_WORDS = 20
 SHINGLE = 3
@@ -102,7 +102,7 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
                     ["doc_id", "paragraph", "char_at", "char_to", "words", "hash", "bands"],
                 )
 
-    return id_text(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, paragraph long, char_at long, char_to long, words long, hash long, bands array<long>")
+    return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), "doc_id long, paragraph long, char_at long, char_to long, words long, hash long, bands array<long>")
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         out_set.append(np.unique(h[off[k] : off[k + 1]]).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out_hash, pa.int64()), pa.array(out_set, pa.binary())], ["hash", "shingles"])
 
-    return id_text(docs).join(lists, "doc_id").select("doc_id", "text", "hashes").mapInArrow(run, "hash long, shingles binary").dropDuplicates(["hash"])
+    return id_text(docs).join(lists, "doc_id").select("doc_id", "text", "hashes").mapInArrow(lean(run), "hash long, shingles binary").dropDuplicates(["hash"])
 
 
 def jaccard_to(pivot: np.ndarray, flat: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def removals(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     met = stored(met, "met")
     sets = contents(docs, met.select("doc_id", "hash").distinct())
     pairs = met.join(sets, "hash").select("key", "hash", "shingles").repartition("key").sortWithinPartitions("key", "hash")
-    roots = components(pairs.mapInArrow(_verify(similar), "a long, b long").distinct(), "similar")
+    roots = components(pairs.mapInArrow(lean(_verify(similar)), "a long, b long").distinct(), "similar")
     placed = rows.drop("bands").join(roots, rows.hash == roots.node, "left").withColumn("cluster", F.coalesce("root", "hash")).drop("node", "root", "hash")
     placed = placed.groupBy("cluster", "doc_id", "paragraph").agg(F.min("char_at").alias("char_at"), F.max("char_to").alias("char_to"), F.max("words").alias("words"))
     placed = stored(placed, "placed")

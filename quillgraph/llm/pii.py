@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import words as W
-from .common import id_text, text_of
+from .common import id_text, lean, text_of
 
 TAGS = ("none", "email", "phone", "+phone", "ip", "card", "+card", "national_id")
 KINDS = tuple(t.removeprefix("+") for t in TAGS)
@@ -328,4 +328,4 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 doc, kind, a, b = spans(part, model)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + at)), pc.take(names, pa.array(kind)), pa.array(a), pa.array(b)], ["doc_id", "kind", "char_at", "char_to"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, kind string, char_at long, char_to long")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, kind string, char_at long, char_to long")

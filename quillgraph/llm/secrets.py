@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words as W
-from .common import id_text, text_of
+from .common import id_text, lean, text_of
 
 SHORTEST = 16
 LONG = 40
@@ -240,4 +240,4 @@ def scan(docs: DataFrame) -> DataFrame:
                     ["doc_id", "kind", "format", "char_at", "char_to"],
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, kind string, format string, char_at long, char_to long")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, kind string, format string, char_at long, char_to long")

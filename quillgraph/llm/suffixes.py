@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import id_text, stored, text_of
+from .common import id_text, lean, stored, text_of
 
 MIN_WORDS = 50
 GRAM = 14
@@ -73,7 +73,7 @@ def anchor_table(docs: DataFrame, least: int = MIN_WORDS, k: int = GRAM) -> Data
                     [pa.array(gram[at].view(np.int64)), batch.column(0).take(pa.array(doc + first)), pa.array(at - w.doc_words[doc])], ["gram", "doc_id", "at"]
                 )
 
-    return id_text(docs).where("doc_id is not null").mapInArrow(run, "gram long, doc_id long, at long")
+    return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), "gram long, doc_id long, at long")
 
 
 def stretches(docs: DataFrame, met: DataFrame, least: int = MIN_WORDS, k: int = GRAM) -> DataFrame:
@@ -108,7 +108,7 @@ def stretches(docs: DataFrame, met: DataFrame, least: int = MIN_WORDS, k: int =
                     ["gram", "doc_id", "start", "at", "words"],
                 )
 
-    return id_text(docs).join(lists, "doc_id").select("doc_id", "text", "ats").mapInArrow(run, "gram long, doc_id long, start long, at long, words binary")
+    return id_text(docs).join(lists, "doc_id").select("doc_id", "text", "ats").mapInArrow(lean(run), "gram long, doc_id long, start long, at long, words binary")
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -240,7 +240,7 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataF
     count = F.count("*").over(Window.partitionBy("gram"))
     met = stored(anchor_table(docs, least, gram).withColumn("n", count).where("n > 1").drop("n"), "met-anchors")
     rows = stretches(docs, met.select("doc_id", "at"), least, gram).repartition("gram").sortWithinPartitions("gram")
-    found = rows.mapInArrow(_repeats(least), "doc_id long, word_at long, word_to long, kept_doc_id long, kept_at long")
+    found = rows.mapInArrow(lean(_repeats(least)), "doc_id long, word_at long, word_to long, kept_doc_id long, kept_at long")
     before = Window.partitionBy("doc_id").orderBy("word_at", F.desc("word_to"), "kept_doc_id").rowsBetween(Window.unboundedPreceding, -1)
     island = Window.partitionBy("doc_id").orderBy("word_at", F.desc("word_to"), "kept_doc_id").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("new", F.when(F.col("word_at") <= F.max("word_to").over(before), 0).otherwise(1))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import id_text, new_path, stored, text_of
+from .common import id_text, lean, new_path, stored, text_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,7 +100,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
         place = total = 0
         out = None
         for batch in batches:
-            for first, texts in W.passes(text_of(batch), 8 << 20):
+            for first, texts in W.passes(text_of(batch)):
                 ids = [np.array([*encode(t, vocabulary, pattern), end_id], kind) for t in texts.to_pylist()]
                 if out is None:
                     out = files.open_output_stream(part)
@@ -116,7 +116,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
             out.close()
             files.move(part, f"{at}/{_shard(shard)}.bin")
 
-    local = stored(id_text(docs).mapInArrow(run, "doc_id long, shard long, position long, token_start long, tokens long"), "token-index")
+    local = stored(id_text(docs).mapInArrow(lean(run), "doc_id long, shard long, position long, token_start long, tokens long"), "token-index")
     # one row for each shard: prefix sums of these are the bases
     sums = local.groupBy("shard").agg(F.sum("tokens").alias("n"), F.count("*").alias("documents"))
     bases = sums.withColumn("base", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).orderBy("shard").toPandas()
@@ -143,7 +143,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
         return pa.RecordBatch.from_arrays([pa.array(cols[0, :1]), pa.array([len(n)])], ["shard", "documents"])
 
     ordered = out.select("shard", "position", "token_start", "tokens").repartition("shard").sortWithinPartitions("shard", "position")
-    written = {int(r.shard): int(r.documents) for r in ordered.mapInArrow(offsets, "shard long, documents long").collect()}
+    written = {int(r.shard): int(r.documents) for r in ordered.mapInArrow(lean(offsets), "shard long, documents long").collect()}
     if written != dict(zip(bases["shard"].astype(int), bases["documents"].astype(int), strict=True)):
         raise RuntimeError("shards and offsets don't agree")
     shards = [{"name": _shard(int(r.shard)), "base": int(r.base), "tokens": int(r.n), "documents": int(r.documents)} for r in bases.itertuples()]

@@ -24,7 +24,7 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of text that one pass of the kernel takes; bounds its memory (about 60 bytes of arrays for each).
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 
 
 def powers(base: U64, n: int) -> np.ndarray:
