@@ -70,12 +70,12 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     return docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).cast("string").alias("text"), *(q(c) for c in more))
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give freed memory back to the system; workers live on between tasks, beside the JVM in one memory limit."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
 
 
 def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -86,7 +86,7 @@ def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             for batch in batches:
                 yield batch
                 del batch
-                _trim()
+                trim()
 
         yield from fn(fed())
 

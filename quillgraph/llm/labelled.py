@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import docstats
-from .common import id_text, stored
+from .common import id_text, stored, trim
 
 #: Bound of the labelled sample that the classifiers fit: the labelled documents with the smallest hashed ids.
 SAMPLE_ROWS = 20_000
@@ -56,4 +56,7 @@ def training(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tup
     stats = docstats.append_statistics(lab.select("doc_id", "text", "quality", "toxic"), lexicon, "stats")
     got = stats.select("doc_id", "quality", "toxic", "stats.*").orderBy("doc_id", *docstats.NAMES).toPandas()
     x = got[list(docstats.NAMES)].to_numpy(float).reshape(-1, len(docstats.NAMES))
-    return x, got["quality"].to_numpy(float), got["toxic"].to_numpy(float), np.unique(lexicon)
+    y, z = got["quality"].to_numpy(float), got["toxic"].to_numpy(float)
+    del got
+    trim()
+    return x, y, z, np.unique(lexicon)

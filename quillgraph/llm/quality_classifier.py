@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import docstats, trees
-from .common import fresh
+from .common import fresh, trim
 from .labelled import SAMPLE_ROWS, training
 
 GOOD_AT = 0.5
@@ -74,8 +74,12 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier:
     """Fit on at most ``rows`` labelled documents."""
     x, quality, toxic, lexicon = training(docs, labels, rows)
-    even = Rules(0.0, [], np.zeros(0))
-    return Classifier(fit_rules(x, quality), fit_rules(x, toxic), lexicon) if len(x) else Classifier(even, even, lexicon)
+    if not len(x):
+        even = Rules(0.0, [], np.zeros(0))
+        return Classifier(even, even, lexicon)
+    model = Classifier(fit_rules(x, quality), fit_rules(x, toxic), lexicon)
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -153,8 +153,9 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 30
     if n == 0 or m == 0 or y.min() == y.max():
         rate = (y.sum() + 0.5) / (n + 1.0)
         return float(np.log(rate / (1 - rate))), np.zeros(m)
-    a = a.astype(np.float32)
-    design = np.hstack([a, np.ones((n, 1), np.float32)])
+    # one float32 copy; float64 vectors against it would copy it again in each step
+    design = np.empty((n, m + 1), np.float32)
+    design[:, :m], design[:, m] = a, 1
     v = np.ones(m + 1, np.float32)
     for _ in range(20):
         v = design.T @ (design @ v)
@@ -164,7 +165,8 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 30
     beta = np.zeros(m + 1)
     z, momentum = beta.copy(), 1.0
     for _ in range(steps):
-        grad = design.T @ (sigmoid(design @ z) - y) / n
+        short = (sigmoid((design @ z.astype(np.float32)).astype(float)) - y).astype(np.float32)
+        grad = (design.T @ short).astype(float) / n
         new = z - step * grad
         new[:m] = np.sign(new[:m]) * np.maximum(np.abs(new[:m]) - step * penalty, 0)
         nxt = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
