@@ -1,10 +1,11 @@
 """Substring dedup: paragraph MinHash banding.
 
-A paragraph is a line; of each with MIN_WORDS words or more, the set of its
-word triples gets a MinHash of BANDS bands of ROWS values. At Jaccard
-similarity 0.8 a pair shares a band with probability 0.998, at 0.75 with 0.99.
-Paragraphs with the same words are one (their hash is of all words) before
-banding. Paragraphs that meet in a band are compared by the exact Jaccard
+A paragraph is a line of ``min_words`` words or more; the query takes those of
+one word on, a caller may leave short ones alone. The set of its word triples
+gets a MinHash of BANDS bands of ROWS values. At Jaccard similarity 0.8 a pair
+shares a band with probability 0.998, at 0.75 with 0.99. Paragraphs with the
+same words are one (their hash is of all words) before banding; those of one
+or two words have no triple and meet in this way only. Paragraphs that meet in a band are compared by the exact Jaccard
 similarity of their triples; those of SIMILAR or more are joined, and clusters
 are connected components. Of each cluster the paragraph with the smallest
 (doc_id, paragraph) stays and all others are removals.
@@ -69,34 +70,33 @@ class Lines:
         return len(self.doc)
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all chosen lines' shingles, n + 1 offsets)."""
+        """(hashes of all chosen lines' shingles, n + 1 offsets); a line of fewer words has none."""
         gram, _ = self.words.grams(SHINGLE)
-        size = self.word_to - self.word_at - SHINGLE + 1
+        size = np.maximum(self.word_to - self.word_at - SHINGLE + 1, 0)
         off = np.concatenate(([0], np.cumsum(size)))
         index = np.arange(off[-1]) - np.repeat(off[:-1] - self.word_at, size)
         return gram[index], off
 
-    def bands(self) -> np.ndarray:
-        """lines x BANDS keys."""
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """(BANDS keys of each line that has a shingle, one after another, n + 1 offsets)."""
         h, off = self.shingles()
-        out = np.zeros((len(self), BANDS), np.uint64)
-        if not len(self):
-            return out
-        for j in range(BANDS * ROWS):
-            low = np.minimum.reduceat((h ^ _XOR[j]) * _MUL[j], off[:-1])
+        has = np.diff(off) > 0
+        out = np.zeros((int(has.sum()), BANDS), np.uint64)
+        for j in range(BANDS * ROWS if len(out) else 0):
+            low = np.minimum.reduceat((h ^ _XOR[j]) * _MUL[j], off[:-1][has])
             out[:, j // ROWS] = W.mix(out[:, j // ROWS] * W.U64(31) + low + W.U64(j // ROWS))
-        return out
+        return out.ravel(), np.concatenate(([0], np.cumsum(has * BANDS)))
 
 
-def paragraph_table(docs: DataFrame) -> DataFrame:
+def paragraph_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, paragraph, char_at, char_to, words, hash, bands)."""
 
     def run(batches):
         for batch in batches:
             for at, part in W.passes(text_of(batch)):
-                lines = Lines(part)
-                bands = lines.bands().view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                lines = Lines(part, min_words)
+                bands, off = lines.bands()
+                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(bands.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(lines.doc + at)), pa.array(lines.number), pa.array(lines.char_at), pa.array(lines.char_to), pa.array(lines.word_to - lines.word_at), pa.array(lines.hash.view(np.int64)), lists],
                     ["doc_id", "paragraph", "char_at", "char_to", "words", "hash", "bands"],
@@ -105,7 +105,7 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
     return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), "doc_id long, paragraph long, char_at long, char_to long, words long, hash long, bands array<long>")
 
 
-def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def contents(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(hash, shingles): sorted distinct shingles, as bytes, of the paragraphs ``wanted`` (doc_id, hash)."""
     lists = wanted.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     lists = checked_broadcast(lists, wanted.count())
@@ -113,7 +113,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for at, part in W.passes(text_of(batch)):
-                lines = Lines(part)
+                lines = Lines(part, min_words)
                 h, off = lines.shingles()
                 hashes = lines.hash.view(np.int64)
                 out_hash, out_set = [], []
@@ -176,14 +176,14 @@ def _verify(similar: float):
     return run
 
 
-def removals(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def removals(docs: DataFrame, similar: float = SIMILAR, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, paragraph, char_at, char_to, words, kept_doc_id, kept_paragraph), a row for each paragraph to remove."""
-    rows = stored(paragraph_table(docs), "paragraphs")
+    rows = stored(paragraph_table(docs, min_words), "paragraphs")
     first = rows.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     keyed = first.select("doc_id", "hash", F.posexplode("bands").alias("band", "key")).select("key", "hash", "doc_id")
     met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "hash", "doc_id")
     met = stored(met, "met")
-    sets = contents(docs, met.select("doc_id", "hash").distinct())
+    sets = contents(docs, met.select("doc_id", "hash").distinct(), min_words)
     pairs = met.join(sets, "hash").select("key", "hash", "shingles").repartition("key").sortWithinPartitions("key", "hash")
     roots = components(pairs.mapInArrow(lean(_verify(similar)), "a long, b long").distinct(), "similar")
     placed = rows.drop("bands").join(roots, rows.hash == roots.node, "left").withColumn("cluster", F.coalesce("root", "hash")).drop("node", "root", "hash")

@@ -49,7 +49,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.removals(table(spark, sf_dir, "documents"))
+    return paragraphs.removals(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

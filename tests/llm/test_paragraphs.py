@@ -60,3 +60,40 @@ def test_odd_rows(odd, none):
     got = {(r.doc_id, r.paragraph, r.kept_doc_id) for r in P.removals(odd).collect()}
     assert got == {(2, 0, 1), (6, 0, 5)}
     assert P.removals(none).count() == 0
+
+
+def test_the_query_takes_paragraphs_of_all_lengths(spark):
+    from quillgraph.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    place, same, near = {}, {}, []
+    for r in table(spark, sf, "documents").collect():
+        for k, line in enumerate(r.text.split("\n")):
+            w = plain(line)
+            if w:
+                place[r.doc_id, k] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+                same.setdefault(tuple(w), []).append((r.doc_id, k))
+    near += [(ids[0], x) for ids in same.values() for x in ids[1:]]
+    exact = {x for ids in same.values() for x in sorted(ids)[1:]}
+    have = {}
+    for ids in same.values():
+        for g in place[ids[0]]:
+            have.setdefault(g, []).append(ids[0])
+    shared = {}
+    for ids in have.values():
+        for x in range(len(ids)):
+            for y in range(x):
+                shared[ids[y], ids[x]] = shared.get((ids[y], ids[x]), 0) + 1
+    near += [(a, b) for (a, b), n in shared.items() if n / (len(place[a]) + len(place[b]) - n) >= P.SIMILAR]
+    must = {x for x, root in closure(near).items() if x != root}
+    got = queries.queries()["op10_paragraph_dedup"](spark, sf).toPandas()
+    gone = set(zip(got.doc_id, got.paragraph, strict=True))
+    assert len(gone) == len(got) and exact <= gone <= must and len(gone) >= 0.98 * len(must)
+    assert {1, 2, 3, 19} <= set(got.words)
+
+
+def test_lines_without_a_shingle_keep_their_hash_and_have_no_band():
+    lines = P.Lines(pa.array(["one\nthree words here\ntwo words\none", "ONE two words"], pa.string()), 1)
+    keys, off = lines.bands()
+    assert lines.number.tolist() == [0, 1, 2, 3, 0] and np.diff(off).tolist() == [0, P.BANDS, 0, 0, P.BANDS] and len(keys) == 2 * P.BANDS
+    assert lines.hash[0] == lines.hash[3] and len(set(lines.hash.tolist())) == 4
