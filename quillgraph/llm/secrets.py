@@ -1,8 +1,10 @@
 """Secret scans with structural confirmation.
 
-Candidates are stretches of 16 bytes or more of the base64 alphabets, ``=`` and
-``.``, that hold a digit or are 40 bytes long, and armoured key blocks. A
-candidate is reported only if it decodes to the structure of its kind:
+Candidates are stretches of 12 bytes or more of the base64 alphabets, ``=`` and
+``.``, that could hold a secret (a digit, 40 bytes, AKIA or ASIA, ``=``, or
+only hex letters; a base64 value needs a digit to count), and armoured key
+blocks. A candidate is reported only if it decodes to the structure of its
+kind:
 
 - ``private_key`` / ``public_key``: base64 or hex that decodes to DER whose
   nested lengths fill the data exactly and whose fields are those of an RSA,
@@ -36,12 +38,14 @@ from pyspark.sql import DataFrame
 from . import words as W
 from .common import id_text, lean, text_of
 
-SHORTEST = 16
+SHORTEST = 12  #: as in _ASSIGN
 LONG = 40
 _RUN = np.zeros(256, bool)
 _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-=."]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_HEX = np.zeros(256, bool)
+_HEX[[*range(65, 71), *range(97, 103), *b".-"]] = True
 _NAMES = r"[A-Za-z0-9_-]*(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)[A-Za-z0-9_-]*"
 _ASSIGN = re.compile(rf"(?i)(?<![A-Za-z0-9])({_NAMES})[\"']?\s{{0,4}}(?:[:=]|=>)\s{{0,4}}[\"']?([A-Za-z0-9+/_.-]{{12,}}={{0,2}})$")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----([A-Za-z0-9+/=\s:,-]{16,}?)-----END \1-----")
@@ -195,6 +199,13 @@ def _armoured(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def _key_starts(raw: np.ndarray) -> np.ndarray:
+    """Where AKIA or ASIA starts."""
+    out = np.zeros(len(raw), bool)
+    out[:-3] = (raw[:-3] == 65) & ((raw[1:-2] == 75) | (raw[1:-2] == 83)) & (raw[2:-1] == 73) & (raw[3:] == 65)
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, format, char_at, char_to), a row for each secret; the secret itself isn't in the result."""
 
@@ -218,6 +229,12 @@ def scan(docs: DataFrame) -> DataFrame:
                 digits = np.zeros(len(raw) + 1, np.int64)
                 np.cumsum(_DIGIT[raw], out=digits[1:])
                 good = (digits[end] > digits[begin]) | (end - begin >= LONG)
+                for mark in (_key_starts(raw), raw == 61):
+                    sums = np.zeros(len(raw) + 1, np.int64)
+                    np.cumsum(mark, out=sums[1:])
+                    good |= sums[end] > sums[begin]
+                np.cumsum(_HEX[raw], out=digits[1:])
+                good |= digits[end] - digits[begin] == end - begin
                 begin, end = begin[good], end[good]
                 owner = np.searchsorted(off, begin, side="right") - 1
                 found: list[tuple[int, str, str, int, int]] = []
