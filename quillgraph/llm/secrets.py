@@ -167,9 +167,17 @@ def confirm(text: str, at: int, to: int) -> list[tuple[str, str, int, int]]:
             out.append(("checked_token", m[0][:4], at + m.start(), at + m.end()))
     if out:
         return out
+    # '.' and '-' may end the sentence; '-' may also be the last character of a base64url value, so that counts first unless the rest is a key
+    found = [_value(text, at, at + end) for end in dict.fromkeys((len(run.rstrip(".")), len(run.rstrip(".-"))))]
+    return max(found, key=lambda x: (bool(x) and x[0][0].endswith("_key"), bool(x)))
+
+
+def _value(text: str, at: int, to: int) -> list[tuple[str, str, int, int]]:
+    """As ``confirm``, of a key or an assigned value that ends at ``to``."""
+    run = text[at:to]
     m = _ASSIGN.search(text[max(0, at - 80) : to])
-    value = m[2] if m else run.lstrip(".=-").rstrip(".-")
-    first = to - len(m[2]) if m else at + run.find(value)
+    value = m[2] if m else run.lstrip(".=-")
+    first = to - len(value)
     if re.fullmatch(r"(?:[0-9a-fA-F]{2})+", value):
         kind = key_kind(bytes.fromhex(value))
         if kind:

@@ -112,3 +112,20 @@ def test_all_access_key_ids_planted_in_the_table(spark):
     ids = [rng.choice(("AKIA", "ASIA")) + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in plain]
     got = found(spark, [f"{t[:200]} {x} {t[200:]}" for t, x in zip(plain, ids, strict=True)])
     assert {(i, v) for i, k, _, v in got if k == "access_key_id"} == set(enumerate(ids)) and any(x.isalpha() for x in ids)
+
+
+def test_assigned_values_at_the_end_of_a_sentence(spark):
+    rng = random.Random(5)
+    key = rsa(rng)
+    b64, hexa, mixed = base64.b64encode(key).decode(), "0123456789abcdef0123456789abcdef", "q8Zr3LmN0pXv7TyWc2Kd5HsB"
+    ends = (("", ""), (".", ""), ("...", ""), ("-", ""), (".-", ""), (".", " Next one"))
+    values = [("api_key=", hexa), ("private_key=", b64), ("private_key=", key.hex()), ("token: ", "q8Zr3LmN0pXv7TyWc2Kd5H==")]
+    texts = [f"so {name}{value}{mark}{more}" for name, value in values for mark, more in ends]
+    texts += [f"secret={mixed}.", "secret=" + mixed[:-1] + "-", "password=45bb0d53635b.", "the-token-of-2024.is.a.word."]
+    got = found(spark, texts)
+    assert [(i, v) for i, _, _, v in got] == [(i, values[i // len(ends)][1]) for i in range(len(values) * len(ends))] + [
+        (len(texts) - 4, mixed), (len(texts) - 3, mixed[:-1] + "-"), (len(texts) - 2, "45bb0d53635b"),
+    ]
+    assert {k for _, k, _, _ in got} == {"hex_secret", "private_key", "base64_secret"}
+    bare = b64.rstrip("=")
+    assert [(k, v) for _, k, _, v in found(spark, [f"private_key={bare}-"])] == [("private_key", bare)]
