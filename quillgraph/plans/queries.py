@@ -328,10 +328,10 @@ def node_upsert_merge(spark, sf):
     return merges.upsert_nodes(stored, batch)
 
 
-def _pending(spark, sf):
+def _pending(spark, sf, orders="o_orderkey % 50 = 0"):
     p, o = _read(spark, sf, "part"), _read(spark, sf, "orders")
     named = p.select(F.concat(F.lit("x:"), (F.col("p_partkey") % 97).cast("string")).alias("src_uid"), F.concat(F.lit("f"), (F.col("p_partkey") % 7).cast("string")).alias("src_file"), F.col("p_name").alias("dst_name"), F.lit("CALLS").alias("relation"), (F.col("p_size") / 100.0).alias("confidence"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("part:"), F.col("p_partkey").cast("string"))).alias("dst_uid"), F.when(F.col("p_size") % 2 == 0, F.lit("ast")).alias("source"), F.col("p_partkey").alias("seq"))
-    return named.unionAll(o.where("o_orderkey % 50 = 0").select(F.lit("x:1"), F.lit("f9"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")), F.lit("CALLS"), F.lit(0.3), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("o_orderkey")))
+    return named.unionAll(o.where(orders).select(F.lit("x:1"), F.lit("f9"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")), F.lit("CALLS"), F.lit(0.3), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("o_orderkey")))
 
 
 _PEND = """pend AS (SELECT 'x:' || p_partkey % 97 AS src_uid, 'f' || p_partkey % 7 AS src_file, p_name AS dst_name, 'CALLS' AS relation, p_size / 100.0 AS confidence, CASE WHEN p_partkey % 3 = 0 THEN 'part:' || p_partkey END AS dst_uid, CASE WHEN p_size % 2 = 0 THEN 'ast' END AS source, p_partkey AS seq FROM part
@@ -351,6 +351,21 @@ def pending_resolve(spark, sf):
     return merges.resolve_pending(merges.upsert_pending(spark.createDataFrame([], G.PENDING), _pending(spark, sf)), g.nodes).select("src_uid", "dst_name", "confidence", "to_uid")
 
 
+_PEND_ALL = _PEND.replace(" WHERE o_orderkey % 50 = 0", "")
+
+
+@query("pending_upsert_all", _PEND_ALL + " SELECT * FROM merged")
+def pending_upsert_all(spark, sf):
+    return merges.upsert_pending(spark.createDataFrame([], G.PENDING), _pending(spark, sf, "true"))
+
+
+@query("pending_resolve_all", _PEND_ALL + """, names AS (SELECT name, min(uid) AS by_name FROM nodes WHERE type <> 'file' GROUP BY name HAVING count(*) = 1)
+SELECT src_uid, dst_name, confidence, CASE WHEN m.dst_uid IS NOT NULL THEN u.uid ELSE by_name END AS to_uid FROM merged m LEFT JOIN names ON name = dst_name LEFT JOIN (SELECT uid FROM nodes) u ON u.uid = m.dst_uid""")
+def pending_resolve_all(spark, sf):
+    g = G.from_tables(spark, sf)
+    return merges.resolve_pending(merges.upsert_pending(spark.createDataFrame([], G.PENDING), _pending(spark, sf, "true")), g.nodes).select("src_uid", "dst_name", "confidence", "to_uid")
+
+
 _GONE = "gone AS (SELECT id FROM nodes WHERE uid IN ('shard/01.tbl', 'shard/02.tbl') OR file_uid IN ('shard/01.tbl', 'shard/02.tbl'))"
 
 
@@ -434,14 +449,14 @@ def intent_route(spark, sf):
     return _read(spark, sf, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
 
 
-def _cases(spark, sf):
+def _cases(spark, sf, orders="o_custkey % 5 = 0", customers="c_custkey % 5 = 0"):
     """A case for each customer: returned are its orders by price, expected its open ones with their priority as gain."""
-    o = _read(spark, sf, "orders").where("o_custkey % 5 = 0")
+    o = _read(spark, sf, "orders").where(orders)
     uid = (F.col("o_orderkey") % 1000).cast("string").alias("uid")
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     returned = o.select(F.col("o_custkey").alias("case_id"), uid, pos.alias("pos"))
     expected = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("case_id"), uid, F.substring("o_orderpriority", 1, 1).cast("double").alias("gain"))
-    return _read(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("case_id")), returned, expected
+    return _read(spark, sf, "customer").where(customers).select(F.col("c_custkey").alias("case_id")), returned, expected
 
 
 _CASES = """cases AS (SELECT c_custkey AS case_id FROM customer WHERE c_custkey % 5 = 0), o AS (SELECT * FROM orders WHERE o_custkey % 5 = 0),
@@ -467,6 +482,29 @@ def metrics_rank(spark, sf):
     return got.select("case_id", *(F.round(c, 9).alias(c) for c in ("recall_at_k", "mrr", "ndcg")))
 
 
+_CASES_ALL = _CASES.replace(" WHERE c_custkey % 5 = 0", "").replace(" WHERE o_custkey % 5 = 0", "")
+
+
+@query("metrics_precision_recall_all", _CASES_ALL + """, r AS (SELECT DISTINCT case_id, uid FROM returned),
+n AS (SELECT case_id, count(*) AS n FROM r GROUP BY case_id), m AS (SELECT case_id, count(*) AS m FROM expected GROUP BY case_id), h AS (SELECT case_id, count(*) AS hit FROM r JOIN expected USING (case_id, uid) GROUP BY case_id),
+s AS (SELECT case_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, coalesce(hit, 0) AS hit FROM cases LEFT JOIN n USING (case_id) LEFT JOIN m USING (case_id) LEFT JOIN h USING (case_id)),
+pr AS (SELECT case_id, CASE WHEN n = 0 THEN 0 ELSE hit / n END AS p, CASE WHEN m = 0 THEN 1 ELSE hit / m END AS r FROM s)
+SELECT case_id, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM pr""", graph=False)
+def metrics_precision_recall_all(spark, sf):
+    got = metrics.set_metrics(*_cases(spark, sf, "true", "true"))
+    return got.select("case_id", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("metrics_rank_all", _CASES_ALL + """, d AS (SELECT case_id, uid, min(pos) AS pos FROM returned GROUP BY ALL), rk AS (SELECT case_id, uid, row_number() OVER (PARTITION BY case_id ORDER BY pos, uid) AS rank FROM d),
+h AS (SELECT case_id, count(*) FILTER (rank <= 10) AS hit, 1.0 / min(rank) AS mrr, sum(gain / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM rk JOIN expected USING (case_id, uid) GROUP BY case_id),
+ideal AS (SELECT case_id, count(*) AS m, sum(gain / log2(place + 1)) FILTER (place <= 10) AS best FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gain DESC, uid) AS place FROM expected) GROUP BY case_id)
+SELECT case_id, round(CASE WHEN coalesce(m, 0) = 0 THEN 1 ELSE coalesce(hit, 0) / m END, 9) AS recall_at_k, round(coalesce(mrr, 0), 9)::DOUBLE AS mrr, round(CASE WHEN coalesce(best, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / best END, 9) AS ndcg
+FROM cases LEFT JOIN h USING (case_id) LEFT JOIN ideal USING (case_id)""", graph=False)
+def metrics_rank_all(spark, sf):
+    got = metrics.rank_metrics(*_cases(spark, sf, "true", "true"))
+    return got.select("case_id", *(F.round(c, 9).alias(c) for c in ("recall_at_k", "mrr", "ndcg")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
