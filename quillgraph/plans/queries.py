@@ -289,6 +289,15 @@ def hybrid_rank(spark, sf):
     return got.join(g.nodes.select("id", "uid"), "id").select("uid", *(F.round(c, 6).alias(c) for c in ("score", *ranking.SIGNALS)))
 
 
+@query("hybrid_rank_all")
+def hybrid_rank_all(spark, sf):
+    """All nodes, with all vectors moved onto orders, at the operator's depth and PageRank."""
+    g = G.from_tables(spark, sf)
+    vec = g.embeddings.withColumn("node_id", F.col("node_id") + F.lit(G.KINDS["order"] * G.STEP))
+    got = ranking.hybrid(g.nodes, g.edges, vec, g.nodes.select("id"), _queries(spark, sf, 1)[0][1])
+    return got.join(g.nodes.select("id", "uid"), "id").select("uid", *(F.round(c, 6).alias(c) for c in ("score", *ranking.SIGNALS)))
+
+
 # --- merges ---------------------------------------------------------------------------
 def _sales(spark, sf):
     """Lineitem as repeated edges from suppliers to parts, in arrival order."""

@@ -213,3 +213,52 @@ def test_hashing_embedding(spark):
             toks, v = plain(r.t, dim)
             assert r.s == toks and max(abs(a - b) for a, b in zip(v, r.v, strict=True)) < 1e-6
     assert spark.range(1).select(T.token_cost(F.lit("")), T.token_cost(F.lit("abcde")), T.clip(F.lit("a\nb"), 5)).first()[:] == (1, 2, "a b")
+
+
+def test_hybrid_over_whole_tables_against_brute_force(spark, sf):
+    import json
+
+    import numpy as np
+
+    from quillgraph.plans import queries as Q
+    from quillgraph.sources import graph as G
+
+    g = G.from_tables(spark, sf)
+    nodes, edges = g.nodes.collect(), g.edges.collect()
+    at = {r.id: i for i, r in enumerate(nodes)}
+    n = len(nodes)
+    links, sums, count = {}, np.zeros(n), np.zeros(n)
+    for e in edges:
+        a, b = at[e.src], at[e.dst]
+        links[a, b] = max(links.get((a, b), 0.0), e.confidence)
+        for x in {a, b}:
+            sums[x] += e.confidence
+            count[x] += 1
+    m = np.zeros((n, n))
+    for (a, b), c in links.items():
+        m[b, a] = c
+    total = m.sum(axis=0)
+    m /= np.where(total > 0, total, 1)
+    rank = np.full(n, 1 / n)
+    for _ in range(100):
+        new = 0.15 / n + 0.85 * rank[total == 0].sum() / n + 0.85 * (m @ rank)
+        change, rank = np.abs(new - rank).sum(), new
+        if change < n * 1e-6:
+            break
+    rank /= rank.sum()
+    vec = {G.KINDS["order"] * G.STEP + r.node_id: np.array(r.vector, float) for r in g.embeddings.collect()}
+    query = vec[G.KINDS["order"] * G.STEP]
+    attrs = [json.loads(r.attrs or "{}") for r in nodes]
+    files = {r.uid: a["mtime"] for r, a in zip(nodes, attrs, strict=True) if r.type == "file"}
+    now = max(files.values())
+    want = {}
+    for i, (r, a) in enumerate(zip(nodes, attrs, strict=True)):
+        t = a.get("mtime", files.get(a.get("file_uid")))
+        parts = (
+            0.45 * float(np.clip(vec[r.id] @ query, 0, 1)) if r.id in vec else 0.0, 0.25 * (rank[i] - rank.min()) / (rank.max() - rank.min()),
+            0.15 * (sums[i] / count[i] if count[i] else 0.0), 0.15 * (0.5 if t is None else math.exp(-(now - t) / 86400 / 30)),
+        )
+        want[r.uid] = (sum(parts), *parts)
+    got = {r.uid: tuple(r)[1:] for r in Q.queries()["hybrid_rank_all"](spark, sf).collect()}
+    assert set(got) == set(want) and sum(x[1] > 0 for x in got.values()) > 100
+    assert all(np.allclose(got[u], want[u], rtol=0, atol=2e-6) for u in want)
