@@ -10,10 +10,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a block where every row is a query: a product of two takes about 32 * BLOCK**2 bytes.
+BLOCK = 1024
+
+
 def normalized(v: Column) -> Column:
     """Unit vector in float64, stored as float32; a zero vector stays."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -63,6 +68,46 @@ def top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, ty
     return out.withColumn("rank", rank).where(F.col("rank") <= max(k, 0))
 
 
+def top_k_all(vectors: DataFrame, k: int, types: list[str] | None = None, tie: str = "node_id", block: int = BLOCK) -> DataFrame:
+    """(query_id, <tie>, score, rank) as ``top_k``, with every row as a query; ``types`` limits what is found, not what is asked.
+
+    Nothing meets on the driver: the rows are cut into blocks of about
+    ``block``, each pair of blocks of one dimension is one matrix product, and
+    a pair keeps only k rows for each query. Scores count to 9 decimals in the
+    order, so that equal vectors tie whatever their blocks.
+    """
+    kind = vectors.schema[tie].dataType.simpleString()
+    schema = f"query_id {kind}, `{tie}` {kind}, score double"
+    rows = vectors.where("vector is not null and dim > 0")
+    blocks = max(1, -(-rows.count() // block))
+    of = F.pmod(F.xxhash64(tie), F.lit(blocks).cast("long"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asked = rows.select("dim", of.alias("q"), F.col(tie).alias("id"), "vector").select("dim", "q", each.alias("v"), "id", "vector", F.lit(True).alias("asks"))
+    rows = rows.where(F.col("type").isin([str(t) for t in types])) if types else rows
+    held = rows.select("dim", of.alias("v"), F.col(tie).alias("id"), "vector").select("dim", each.alias("q"), "v", "id", "vector", F.lit(False).alias("asks"))
+
+    def run(pair):
+        left, right = pair.filter(pair["asks"]), pair.filter(pc.invert(pair["asks"]))
+        if k <= 0 or not len(left) or not len(right):
+            return pa.table({"query_id": left["id"][:0], tie: left["id"][:0], "score": pa.array([], pa.float64())})
+        right = right.sort_by("id")
+        dim = left["dim"][0].as_py()
+        exact = _matrix(left["vector"].combine_chunks(), dim) @ _matrix(right["vector"].combine_chunks(), dim).T
+        s = np.round(exact, 9)
+        # all that reach the k-th score, then k of them, ties by id
+        few = np.partition(s, -k, axis=1)[:, -k, None] if k < s.shape[1] else -np.inf
+        q, v = np.nonzero(s >= few)
+        order = np.lexsort((v, -s[q, v], q))
+        q, v = q[order], v[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, v = q[keep], v[keep]
+        return pa.table({"query_id": left["id"].take(pa.array(q)), tie: right["id"].take(pa.array(v)), "score": exact[q, v]})
+
+    best = asked.unionAll(held).groupBy("dim", "q", "v").applyInArrow(run, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), tie))
+    return best.withColumn("rank", rank).where(F.col("rank") <= max(k, 0))
+
+
 def prevailing_dim(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1)
 

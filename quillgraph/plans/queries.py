@@ -144,6 +144,17 @@ _topk("vector_topk", None)
 _topk("vector_topk_types", ["1", "3"], " AND v.label IN (1, 3)")
 
 
+def _topk_all(name, types, extra=""):
+    @query(name, _top_sql(extra).replace("q.vec_id < 5", "true"), graph=False)
+    def run(spark, sf):
+        got = vectors.top_k_all(G.from_tables(spark, sf).embeddings, 10, types)
+        return got.select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
+
+
+_topk_all("vector_topk_all", None)
+_topk_all("vector_topk_types_all", ["1", "3"], " AND v.label IN (1, 3)")
+
+
 @query("cosine_clamped", "SELECT vec_id AS id, round(greatest(0, least(1, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)))), 6) AS cosine FROM embeddings", graph=False)
 def cosine_clamped(spark, sf):
     g = G.from_tables(spark, sf)

@@ -215,6 +215,32 @@ def test_hashing_embedding(spark):
     assert spark.range(1).select(T.token_cost(F.lit("")), T.token_cost(F.lit("abcde")), T.clip(F.lit("a\nb"), 5)).first()[:] == (1, 2, "a b")
 
 
+def test_top_k_of_every_row_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    m = rng.integers(-2, 3, (90, 4)).astype(np.float32)  # many ties
+    rows = [(i, [float(x) for x in v], "ab"[i % 2], 4) for i, v in enumerate(m)] + [(200, [1.0, 0.0], "a", 2), (201, [0.5, 0.0], "b", 2), (202, None, "a", -1)]
+    df = spark.createDataFrame(rows, "node_id long, vector array<float>, type string, dim int")
+    for block in (1000, 17):
+        for k, types in ((5, None), (3, ["b"]), (500, ["a"]), (0, None)):
+            got = {(r.query_id, r["rank"]): r.node_id for r in vectors.top_k_all(df, k, types, block=block).collect()}
+            want = {}
+            for q, v, _, d in rows:
+                near = sorted((-float(np.dot(v, w)), i) for i, w, t, e in rows if d == e and v and (not types or t in types))
+                want |= {(q, n + 1): i for n, (_, i) in enumerate(near[:k])}
+            assert got == want
+
+
+def test_all_embeddings_are_queries(spark, sf):
+    from quillgraph.plans import queries as Q
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    for name in ("vector_topk_all", "vector_topk_types_all"):
+        got = Q.queries()[name](spark, sf).select("query_id").collect()
+        assert {r.query_id for r in got} == ids and len(got) == 10 * len(ids)
+
+
 def test_hybrid_over_whole_tables_against_brute_force(spark, sf):
     import json
 
