@@ -48,7 +48,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,26 +118,20 @@ def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")
 
 
-#: Rows of one long up to which a side is broadcast (about 80 MB of hash relation); a larger side is shuffled.
-BROADCAST_ROWS = 2_000_000
-
-
-def checked_broadcast(ids: DataFrame, rows: int | None = None) -> DataFrame:
-    """``ids`` with a broadcast hint if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(ids) if (ids.count() if rows is None else rows) <= BROADCAST_ROWS else ids
-
-
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``ids`` (doc_id); rows without an id stay."""
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (doc_id); rows without an id stay.
+
+    The ids grow with the documents, so both sides are sorted and merged, at every size.
+    """
     name = fresh(docs, "gone")
-    ids = checked_broadcast(ids.select(F.col("doc_id").alias(name)))
+    ids = ids.select(F.col("doc_id").alias(name)).hint("merge")
     return docs.join(ids, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id)."""
+    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id); merged as in ``without_ids``."""
     name = fresh(docs, "stays")
-    ids = checked_broadcast(ids.select(F.col("doc_id").alias(name)))
+    ids = ids.select(F.col("doc_id").alias(name)).hint("merge")
     return docs.join(ids, F.col("doc_id").cast("long") == F.col(name), "left_semi")
 
 
@@ -150,8 +153,11 @@ def once_per_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): connected components of (a, b), root the smallest node; by alternating large and small stars.
 
-    Each round is written to the shared folder. Rounds end when a round
-    changes nothing. Nodes that are their own root are left out.
+    Each round is written to the shared folder and the one before deleted.
+    Rounds end when a round changes nothing. Nodes that are their own root are
+    left out. The smallest neighbour comes from an aggregate, which combines
+    before the shuffle, and joins back: a centre of very many edges is split
+    among tasks.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     mark = None
@@ -161,9 +167,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         mark = seen
         both = now.union(now.select("b", "a"))
-        low = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-        large = both.withColumn("low", low).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        low = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("low", low).select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        now = stored(small, name)
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = stored(large, name)
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        after = stored(small, name)
+        forget(now, large)
+        now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,21 +1,36 @@
 """Substring dedup: paragraph MinHash banding.
 
-A paragraph is a line of ``min_words`` words or more; the query takes those of
-one word on, a caller may leave short ones alone. The set of its word triples
-gets a MinHash of BANDS bands of ROWS values. At Jaccard similarity 0.8 a pair
-shares a band with probability 0.998, at 0.75 with 0.99. Paragraphs with the
-same words are one (their hash is of all words) before banding; those of one
-or two words have no triple and meet in this way only. Paragraphs that meet in a band are compared by the exact Jaccard
+A text is cut in two ways, and each piece of either is a unit. Lines: the
+words between line breaks. Segments: the words between content cuts, blind to
+line breaks; a cut lies where the hash of a word triple is the smallest among
+RADIUS words on both sides, so a passage that is repeated in the middle of
+other lines is cut at the same words in all its places. Units of all lengths
+take part. A passage of 50 words holds 36 places for a cut, one in 13 words
+on average, and a segment lies between two.
+
+The set of a unit's word triples gets a MinHash of bands of ROWS values, BANDS
+for a line and SEGMENT_BANDS for a segment. At Jaccard similarity 0.75 a pair
+of lines shares a band with probability 0.99, a pair of segments with 0.9, at
+0.9 both with 0.998 or more. Units with the same words are one (by the hash of
+all words) before banding; those of one or two words have no triple and meet
+in this way only. Units that meet in a band are compared by the exact Jaccard
 similarity of their triples; those of SIMILAR or more are joined, and clusters
-are connected components. Of each cluster the paragraph with the smallest
-(doc_id, paragraph) stays and all others are removals.
-
-A crowded band is searched outward from one paragraph at a time and yields a
-spanning forest, so a passage in thousands of variants costs no pairs.
-
-Defined cases: null and empty texts have no paragraphs; rows without an id
-take no part; repeated rows of one id are one document (a paragraph of it
-counts once); an empty table gives an empty result; texts are read whole.
+are connected components. Of each cluster the unit with the smallest (doc_id,
+word) stays and all others are repeats. Overlapping and adjoining repeats of a
+document make one span, and spans of SPAN_WORDS or more are reported: shorter
+repeats (a greeting, one line of a licence) occur in unrelated texts. This
+bound is applied to joined spans only; ``least=1`` gives all.
+
+Bands with the same members are searched once. A crowd of over CROWD units in
+a band is searched in pairs of blocks, each outward from one unit at a time,
+and yields spanning forests; so a passage in thousands of variants is held by
+no task as a whole and costs no pairs.
+
+Defined cases: null and empty texts have no units; rows without an id take no
+part; repeated rows of one id are one document (a unit at one place counts
+once); a repeat inside one document is reported, the first place stays; ties
+can't occur, as places differ; an empty table gives an empty result; texts are
+read whole; other columns are never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -26,103 +41,174 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import checked_broadcast, components, id_text, lean, stored, text_of
+from .common import components, forget, id_text, lean, stored, text_of
 
-MIN_WORDS = 20
 SHINGLE = 3
+RADIUS = 6
 BANDS = 12
+SEGMENT_BANDS = 6
 ROWS = 4
 SIMILAR = 0.75
+SPAN_WORDS = 15
+#: Units of one block of a crowded band; a task holds two blocks.
+CROWD = 1000
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) | W.U64(1)
-
-
-class Lines:
-    """Paragraphs of one pass of texts that have enough words."""
-
-    def __init__(self, texts: pa.Array, min_words: int = MIN_WORDS):
+_KIND = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179], np.uint64)
+
+
+def _lowest(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of x[i : i + width] for each i; beyond the end counts as the greatest."""
+    top = np.uint64(2**64 - 1)
+    step, out = 1, x
+    while step * 2 <= width:
+        out = np.minimum(out, np.concatenate((out[step:], np.full(min(step, len(x)), top))))
+        step *= 2
+    rest = width - step
+    return np.minimum(out, np.concatenate((out[rest:], np.full(min(rest, len(x)), top)))) if rest else out
+
+
+def content_cuts(w: W.Words, radius: int = RADIUS, k: int = SHINGLE) -> np.ndarray:
+    """Words before which a text is cut; only those whose whole neighbourhood lies in the text."""
+    gram, _ = w.grams(k)
+    n = len(gram)
+    if n <= 2 * radius:
+        return np.zeros(0, np.int64)
+    low = _lowest(gram, radius)
+    size = np.diff(w.doc_words)
+    begin, end = np.repeat(w.doc_words[:-1], size), np.repeat(w.doc_words[1:], size)
+    i = np.arange(radius, n - radius)
+    i = i[(i - radius >= begin[i]) & (i + radius + k <= end[i])]
+    return i[(gram[i] < low[i - radius]) & (gram[i] <= low[i + 1])]  # of tied ones the first
+
+
+class Units:
+    """Lines and segments of one pass of texts, as ranges of words."""
+
+    def __init__(self, texts: pa.Array):
         w = self.words = W.split(texts)
-        raw, off = W.raw_bytes(W.column(texts))
-        cut = np.unique(np.concatenate((w.doc_bytes, np.flatnonzero(w.data == 10) + 1)))
-        raw_cut = np.unique(np.concatenate((off, np.flatnonzero(raw == 10) + 1)))
-        at = np.searchsorted(w.starts, cut)
-        # a line lies in the text that its first byte lies in; empty texts have none
-        doc = np.searchsorted(w.doc_bytes, cut[:-1], side="right") - 1
-        first_line = np.searchsorted(cut, w.doc_bytes[:-1])
-        chosen = np.flatnonzero(np.diff(at) >= min_words)
-        self.doc = doc[chosen]
-        self.number = chosen - first_line[self.doc]
-        self.word_at, self.word_to = at[chosen], at[chosen + 1]
-        chars = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
-        end = raw_cut[chosen + 1]
-        end = end - (raw[end - 1] == 10)
-        self.char_at = chars[raw_cut[chosen]] - chars[off[self.doc]]
-        self.char_to = chars[end] - chars[off[self.doc]]
         n = len(w.hashes)
+        whole = w.doc_words[:-1]
+        starts = (np.searchsorted(w.starts, np.flatnonzero(w.data == 10)), content_cuts(w))
+        both = [np.unique(np.concatenate((whole, s))) for s in starts]
+        both = [s[s < n] for s in both]
+        self.kind = np.repeat([0, 1], [len(s) for s in both])
+        self.at = np.concatenate(both)
+        self.to = np.concatenate([np.append(s[1:], n)[: len(s)] for s in both])
+        # a text without words starts where the next one does, so it owns no unit
+        self.doc = np.searchsorted(w.doc_words, self.at, side="right") - 1
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(w.hashes * W.powers(W._BASE, n), out=sums[1:])
-        self.hash = W.mix((sums[self.word_to] - sums[self.word_at]) * W.powers(W._BASE_INV, n + 1)[self.word_at] + (self.word_to - self.word_at).astype(np.uint64))
+        self.hash = W.mix((sums[self.to] - sums[self.at]) * W.powers(W._BASE_INV, n + 1)[self.at] + (self.to - self.at).astype(np.uint64) + _KIND[self.kind])
 
     def __len__(self) -> int:
-        return len(self.doc)
-
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all chosen lines' shingles, n + 1 offsets); a line of fewer words has none."""
+        return len(self.at)
+
+    def chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of the text from the first word's start to the last word's end; lower case keeps their number."""
+        w = self.words
+        before = np.zeros(len(w.data) + 1, np.int64)
+        np.cumsum((w.data & 0xC0) != 0x80, out=before[1:])
+        base = before[w.doc_bytes[self.doc]]
+        return before[w.starts[self.at]] - base, before[w.ends[self.to - 1]] - base
+
+    def shingles(self, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the shingles of the chosen units, n + 1 offsets); a unit of fewer words has none."""
         gram, _ = self.words.grams(SHINGLE)
-        size = np.maximum(self.word_to - self.word_at - SHINGLE + 1, 0)
+        at, to = (self.at, self.to) if chosen is None else (self.at[chosen], self.to[chosen])
+        size = np.maximum(to - at - SHINGLE + 1, 0)
         off = np.concatenate(([0], np.cumsum(size)))
-        index = np.arange(off[-1]) - np.repeat(off[:-1] - self.word_at, size)
-        return gram[index], off
+        return gram[np.arange(off[-1]) - np.repeat(off[:-1] - at, size)], off
 
     def bands(self) -> tuple[np.ndarray, np.ndarray]:
-        """(BANDS keys of each line that has a shingle, one after another, n + 1 offsets)."""
-        h, off = self.shingles()
-        has = np.diff(off) > 0
-        out = np.zeros((int(has.sum()), BANDS), np.uint64)
-        for j in range(BANDS * ROWS if len(out) else 0):
-            low = np.minimum.reduceat((h ^ _XOR[j]) * _MUL[j], off[:-1][has])
-            out[:, j // ROWS] = W.mix(out[:, j // ROWS] * W.U64(31) + low + W.U64(j // ROWS))
-        return out.ravel(), np.concatenate(([0], np.cumsum(has * BANDS)))
-
-
-def paragraph_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, paragraph, char_at, char_to, words, hash, bands)."""
+        """(keys of each unit that has a shingle, one after another, n + 1 offsets)."""
+        keys, count = [], np.zeros(len(self), np.int64)
+        for kind, bands in enumerate((BANDS, SEGMENT_BANDS)):
+            mine = np.flatnonzero(self.kind == kind)
+            h, off = self.shingles(mine)
+            has = np.diff(off) > 0
+            out = np.zeros((int(has.sum()), bands), np.uint64)
+            for j in range(bands * ROWS if len(out) else 0):
+                low = np.minimum.reduceat((h ^ _XOR[j]) * _MUL[j], off[:-1][has])
+                out[:, j // ROWS] = W.mix(out[:, j // ROWS] * W.U64(31) + low + W.U64(j // ROWS) + _KIND[kind])
+            keys.append(out.ravel())
+            count[mine] = has * bands
+        return np.concatenate(keys), np.concatenate(([0], np.cumsum(count)))
+
+
+def _each(docs: DataFrame, make, schema: str) -> DataFrame:
+    """``make(units, ids)`` of each pass of ``docs`` that have an id."""
 
     def run(batches):
         for batch in batches:
             for at, part in W.passes(text_of(batch)):
-                lines = Lines(part, min_words)
-                bands, off = lines.bands()
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(bands.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lines.doc + at)), pa.array(lines.number), pa.array(lines.char_at), pa.array(lines.char_to), pa.array(lines.word_to - lines.word_at), pa.array(lines.hash.view(np.int64)), lists],
-                    ["doc_id", "paragraph", "char_at", "char_to", "words", "hash", "bands"],
-                )
+                units = Units(part)
+                yield make(units, batch.column(0).take(pa.array(units.doc + at)))
+
+    return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), schema)
+
 
-    return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), "doc_id long, paragraph long, char_at long, char_to long, words long, hash long, bands array<long>")
+def unit_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, word_at, word_to, char_at, char_to, hash)."""
 
+    def make(units, ids):
+        base = units.words.doc_words[units.doc]
+        cols = (units.at - base, units.to - base, *units.chars(), units.hash.view(np.int64))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in cols)], ["doc_id", "word_at", "word_to", "char_at", "char_to", "hash"])
 
-def contents(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(hash, shingles): sorted distinct shingles, as bytes, of the paragraphs ``wanted`` (doc_id, hash)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    lists = checked_broadcast(lists, wanted.count())
+    return _each(docs, make, "doc_id long, word_at long, word_to long, char_at long, char_to long, hash long")
+
+
+def band_table(docs: DataFrame) -> DataFrame:
+    """(hash, bands) of the units that have a shingle."""
+
+    def make(units, ids):
+        keys, off = units.bands()
+        lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(keys.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(units.hash.view(np.int64)), lists], ["hash", "bands"]).filter(pa.array(np.diff(off) > 0))
+
+    return _each(docs, make, "hash long, bands array<long>")
+
+
+def _met(batches):
+    """Batches sorted by key of (key, hash) -> (key, hash, place) of keys with several members; holds one row at a time."""
+    key, hash_, place, sent = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, False  # the last row of the batch before
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.concatenate((key, np.asarray(batch.column(0))))
+        hashes = np.concatenate((hash_, np.asarray(batch.column(1))))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.append(first, len(keys)))
+        at = np.arange(len(keys)) - np.repeat(first, size)
+        at[: size[0]] += place if len(key) else 0
+        out = (at > 0) | (np.repeat(size, size) > 1)
+        go = out.copy()
+        go[0] &= not (len(key) and sent)
+        key, hash_, place, sent = keys[-1:], hashes[-1:], int(at[-1]), bool(out[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[go]), pa.array(hashes[go]), pa.array(at[go])], ["key", "hash", "place"])
+
+
+def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(hash, shingles): sorted distinct shingles, as bytes, of the units ``wanted`` (doc_id, hash)."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")).hint("merge")  # the lists grow with the documents
 
     def run(batches):
         for batch in batches:
-            for at, part in W.passes(text_of(batch)):
-                lines = Lines(part, min_words)
-                h, off = lines.shingles()
-                hashes = lines.hash.view(np.int64)
-                out_hash, out_set = [], []
-                asked = [set(x) for x in batch.column(2).slice(at, len(part)).to_pylist()]
-                for k in range(len(lines)):
-                    if int(hashes[k]) in asked[lines.doc[k]]:
-                        out_hash.append(int(hashes[k]))
-                        out_set.append(np.unique(h[off[k] : off[k + 1]]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out_hash, pa.int64()), pa.array(out_set, pa.binary())], ["hash", "shingles"])
+            for first, part in W.passes(text_of(batch)):
+                units = Units(part)
+                asked = batch.column(2).slice(first, len(part))
+                off = np.asarray(asked.offsets).astype(np.int64)
+                hashes = units.hash.view(np.int64)
+                some = np.flatnonzero(np.isin(hashes, np.asarray(asked.values)[off[0] : off[-1]]))
+                # any row that has a wanted unit may send it; of equal ones one counts
+                _, one = np.unique(hashes[some], return_index=True)
+                some = some[one]
+                h, at = units.shingles(some)
+                sets = [np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[some]), pa.array(sets, pa.binary())], ["hash", "shingles"])
 
     return id_text(docs).join(lists, "doc_id").select("doc_id", "text", "hashes").mapInArrow(lean(run), "hash long, shingles binary").dropDuplicates(["hash"])
 
@@ -153,7 +239,7 @@ def _forest(hashes: list[int], sets: list[np.ndarray], similar: float) -> list[t
 
 
 def _verify(similar: float):
-    """Batches sorted by key of (key, hash, shingles) -> (a, b)."""
+    """Batches sorted by group of (group, hash, shingles) -> (a, b)."""
 
     def solve(hashes, sets):
         order = {h: s for h, s in zip(hashes, sets, strict=True)}
@@ -176,19 +262,33 @@ def _verify(similar: float):
     return run
 
 
-def removals(docs: DataFrame, similar: float = SIMILAR, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, paragraph, char_at, char_to, words, kept_doc_id, kept_paragraph), a row for each paragraph to remove."""
-    rows = stored(paragraph_table(docs, min_words), "paragraphs")
-    first = rows.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    keyed = first.select("doc_id", "hash", F.posexplode("bands").alias("band", "key")).select("key", "hash", "doc_id")
-    met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "hash", "doc_id")
-    met = stored(met, "met")
-    sets = contents(docs, met.select("doc_id", "hash").distinct(), min_words)
-    pairs = met.join(sets, "hash").select("key", "hash", "shingles").repartition("key").sortWithinPartitions("key", "hash")
+def groups_to_search(met: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(group, hash): of bands with the same members one, cut into pairs of blocks of ``crowd`` units."""
+    same = met.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(hash))").alias("x"), F.expr("bit_xor(xxhash64(hash, 1))").alias("y"))
+    one = same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    block, blocks = F.floor(F.col("place") / crowd).cast("long"), F.ceil(F.col("n") / crowd).cast("long")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    met = met.join(one, "key").select("key", "hash", block.alias("block"), blocks.alias("blocks")).select("key", "hash", "block", F.explode(others).alias("other"))
+    return met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "hash")
+
+
+def removals(docs: DataFrame, similar: float = SIMILAR, least: int = SPAN_WORDS) -> DataFrame:
+    """(doc_id, word_at, word_to, words, char_at, char_to, kept_doc_id): spans of at least ``least`` words that repeat; ``kept_doc_id`` has the copy that stays."""
+    keyed = band_table(docs).groupBy("hash").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "hash")
+    met = stored(keyed.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(lean(_met), "key long, hash long, place long"), "met")
+    rows = stored(unit_table(docs), "units")
+    wanted = rows.join(met.select("hash").distinct(), "hash").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+    sets = contents(docs, wanted)
+    pairs = groups_to_search(met).join(sets, "hash").select("group", "hash", "shingles").repartition("group").sortWithinPartitions("group", "hash")
     roots = components(pairs.mapInArrow(lean(_verify(similar)), "a long, b long").distinct(), "similar")
-    placed = rows.drop("bands").join(roots, rows.hash == roots.node, "left").withColumn("cluster", F.coalesce("root", "hash")).drop("node", "root", "hash")
-    placed = placed.groupBy("cluster", "doc_id", "paragraph").agg(F.min("char_at").alias("char_at"), F.max("char_to").alias("char_to"), F.max("words").alias("words"))
-    placed = stored(placed, "placed")
-    kept = placed.groupBy("cluster").agg(F.min(F.struct("doc_id", "paragraph")).alias("k"), F.count("*").alias("n")).where("n > 1").select("cluster", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.paragraph").alias("kept_paragraph"))
-    out = placed.join(kept, "cluster").where("doc_id <> kept_doc_id or paragraph <> kept_paragraph")
-    return out.select("doc_id", "paragraph", "char_at", "char_to", "words", "kept_doc_id", "kept_paragraph")
+    forget(met)
+    placed = rows.join(roots, rows.hash == roots.node, "left").withColumn("cluster", F.coalesce("root", "hash")).drop("node", "root", "hash")
+    placed = placed.groupBy("cluster", "doc_id", "word_at").agg(F.max("word_to").alias("word_to"), F.min("char_at").alias("char_at"), F.max("char_to").alias("char_to"))
+    kept = placed.groupBy("cluster").agg(F.min(F.struct("doc_id", "word_at")).alias("k"), F.count("*").alias("n")).where("n > 1").select("cluster", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.word_at").alias("kept_at"))
+    found = placed.join(kept, "cluster").where("doc_id <> kept_doc_id or word_at <> kept_at").drop("cluster", "kept_at")
+    order = Window.partitionBy("doc_id").orderBy("word_at", F.desc("word_to"), "kept_doc_id")
+    found = found.withColumn("new", F.when(F.col("word_at") <= F.max("word_to").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
+    found = found.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = (F.min(c).alias(c) if c.endswith("at") or c.startswith("kept") else F.max(c).alias(c) for c in ("word_at", "word_to", "char_at", "char_to", "kept_doc_id"))
+    found = found.groupBy("doc_id", "island").agg(*ends).withColumn("words", F.col("word_to") - F.col("word_at")).where(F.col("words") >= least)
+    return found.select("doc_id", "word_at", "word_to", "words", "char_at", "char_to", "kept_doc_id")
