@@ -45,10 +45,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    """Write ``df`` into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Spark removes the shuffle files of a finished job when the driver's
+    collector finds that nothing holds them; it is run here, so that disks
+    hold those of one step.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.java.lang.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 

@@ -10,8 +10,8 @@ on average, and a segment lies between two.
 
 The set of a unit's word triples gets a MinHash of bands of ROWS values, BANDS
 for a line and SEGMENT_BANDS for a segment. At Jaccard similarity 0.75 a pair
-of lines shares a band with probability 0.99, a pair of segments with 0.9, at
-0.9 both with 0.998 or more. Units with the same words are one (by the hash of
+of lines shares a band with probability 0.99, a pair of segments with 0.89, at
+0.9 both with 0.995 or more. Units with the same words are one (by the hash of
 all words) before banding; those of one or two words have no triple and meet
 in this way only. Units that meet in a band are compared by the exact Jaccard
 similarity of their triples; those of SIMILAR or more are joined, and clusters
@@ -45,13 +45,15 @@ from .common import components, forget, id_text, lean, stored, text_of
 
 SHINGLE = 3
 RADIUS = 6
-BANDS = 12
-SEGMENT_BANDS = 6
-ROWS = 4
+BANDS = 8
+SEGMENT_BANDS = 4
+ROWS = 3
 SIMILAR = 0.75
 SPAN_WORDS = 15
 #: Units of one block of a crowded band; a task holds two blocks.
 CROWD = 1000
+#: Hashes of units that a task remembers, to send a unit's bands once; beyond that it starts anew.
+MEMORY = 1 << 20
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -122,11 +124,11 @@ class Units:
         off = np.concatenate(([0], np.cumsum(size)))
         return gram[np.arange(off[-1]) - np.repeat(off[:-1] - at, size)], off
 
-    def bands(self) -> tuple[np.ndarray, np.ndarray]:
-        """(keys of each unit that has a shingle, one after another, n + 1 offsets)."""
-        keys, count = [], np.zeros(len(self), np.int64)
+    def bands(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(band keys of the chosen units that have a shingle, the unit of each key)."""
+        keys, of = [], []
         for kind, bands in enumerate((BANDS, SEGMENT_BANDS)):
-            mine = np.flatnonzero(self.kind == kind)
+            mine = chosen[self.kind[chosen] == kind]
             h, off = self.shingles(mine)
             has = np.diff(off) > 0
             out = np.zeros((int(has.sum()), bands), np.uint64)
@@ -134,59 +136,60 @@ class Units:
                 low = np.minimum.reduceat((h ^ _XOR[j]) * _MUL[j], off[:-1][has])
                 out[:, j // ROWS] = W.mix(out[:, j // ROWS] * W.U64(31) + low + W.U64(j // ROWS) + _KIND[kind])
             keys.append(out.ravel())
-            count[mine] = has * bands
-        return np.concatenate(keys), np.concatenate(([0], np.cumsum(count)))
+            of.append(np.repeat(mine[has], bands))
+        return np.concatenate(keys), np.concatenate(of)
 
 
-def _each(docs: DataFrame, make, schema: str) -> DataFrame:
-    """``make(units, ids)`` of each pass of ``docs`` that have an id."""
+def unit_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, word_at, word_to, char_at, char_to, hash)."""
 
     def run(batches):
         for batch in batches:
-            for at, part in W.passes(text_of(batch)):
+            for first, part in W.passes(text_of(batch)):
                 units = Units(part)
-                yield make(units, batch.column(0).take(pa.array(units.doc + at)))
-
-    return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), schema)
-
-
-def unit_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, word_at, word_to, char_at, char_to, hash)."""
+                base = units.words.doc_words[units.doc]
+                cols = (units.at - base, units.to - base, *units.chars(), units.hash.view(np.int64))
+                ids = batch.column(0).take(pa.array(units.doc + first))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in cols)], ["doc_id", "word_at", "word_to", "char_at", "char_to", "hash"])
 
-    def make(units, ids):
-        base = units.words.doc_words[units.doc]
-        cols = (units.at - base, units.to - base, *units.chars(), units.hash.view(np.int64))
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in cols)], ["doc_id", "word_at", "word_to", "char_at", "char_to", "hash"])
-
-    return _each(docs, make, "doc_id long, word_at long, word_to long, char_at long, char_to long, hash long")
+    return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), "doc_id long, word_at long, word_to long, char_at long, char_to long, hash long")
 
 
 def band_table(docs: DataFrame) -> DataFrame:
-    """(hash, bands) of the units that have a shingle."""
+    """(key, hash) of the bands of units that have a shingle; a unit that a task has met before isn't sent again."""
 
-    def make(units, ids):
-        keys, off = units.bands()
-        lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(keys.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(units.hash.view(np.int64)), lists], ["hash", "bands"]).filter(pa.array(np.diff(off) > 0))
+    def run(batches):
+        seen = np.zeros(0, np.uint64)
+        for batch in batches:
+            for _, part in W.passes(text_of(batch)):
+                units = Units(part)
+                _, one = np.unique(units.hash, return_index=True)
+                one = one[~np.isin(units.hash[one], seen)]
+                seen = np.union1d(seen, units.hash[one]) if len(seen) < MEMORY else units.hash[one]
+                keys, of = units.bands(np.sort(one))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(units.hash[of].view(np.int64))], ["key", "hash"])
 
-    return _each(docs, make, "hash long, bands array<long>")
+    return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), "key long, hash long")
 
 
 def _met(batches):
-    """Batches sorted by key of (key, hash) -> (key, hash, place) of keys with several members; holds one row at a time."""
+    """Batches sorted by key and hash of (key, hash) -> (key, hash, place) of keys with several hashes; holds one row at a time."""
     key, hash_, place, sent = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, False  # the last row of the batch before
     for batch in batches:
         if not len(batch):
             continue
         keys = np.concatenate((key, np.asarray(batch.column(0))))
         hashes = np.concatenate((hash_, np.asarray(batch.column(1))))
+        held = len(key) > 0
+        once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])))
+        keys, hashes = keys[once], hashes[once]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(first, len(keys)))
         at = np.arange(len(keys)) - np.repeat(first, size)
-        at[: size[0]] += place if len(key) else 0
+        at[: size[0]] += place if held else 0
         out = (at > 0) | (np.repeat(size, size) > 1)
         go = out.copy()
-        go[0] &= not (len(key) and sent)
+        go[0] &= not (held and sent)
         key, hash_, place, sent = keys[-1:], hashes[-1:], int(at[-1]), bool(out[-1])
         yield pa.RecordBatch.from_arrays([pa.array(keys[go]), pa.array(hashes[go]), pa.array(at[go])], ["key", "hash", "place"])
 
@@ -272,20 +275,33 @@ def groups_to_search(met: DataFrame, crowd: int = CROWD) -> DataFrame:
     return met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "hash")
 
 
+def kept_places(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hash, kept_doc_id, kept_at) of units with several places, alone or together with those similar to them.
+
+    A unit has several places if its smallest and greatest differ, so repeated
+    rows of an id don't count and nothing has to be sorted; both are combined
+    before the shuffle.
+    """
+    place = F.struct("doc_id", "word_at")
+    each = rows.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    each = stored(each.join(linked.hint("merge"), each.hash == linked.node, "left").where("root is not null or lo <> hi").select("hash", "root", "lo", "hi"), "places")
+    whole = each.where("root is not null").groupBy("root").agg(F.min("lo").alias("low"))
+    out = each.where("root is null").select("hash", "lo").unionByName(each.where("root is not null").join(whole, "root").select("hash", F.col("low").alias("lo")))
+    return out.select("hash", F.col("lo.doc_id").alias("kept_doc_id"), F.col("lo.word_at").alias("kept_at"))
+
+
 def removals(docs: DataFrame, similar: float = SIMILAR, least: int = SPAN_WORDS) -> DataFrame:
     """(doc_id, word_at, word_to, words, char_at, char_to, kept_doc_id): spans of at least ``least`` words that repeat; ``kept_doc_id`` has the copy that stays."""
-    keyed = band_table(docs).groupBy("hash").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "hash")
-    met = stored(keyed.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(lean(_met), "key long, hash long, place long"), "met")
+    met = stored(band_table(docs).repartition("key").sortWithinPartitions("key", "hash").mapInArrow(lean(_met), "key long, hash long, place long"), "met")
     rows = stored(unit_table(docs), "units")
     wanted = rows.join(met.select("hash").distinct(), "hash").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
     sets = contents(docs, wanted)
     pairs = groups_to_search(met).join(sets, "hash").select("group", "hash", "shingles").repartition("group").sortWithinPartitions("group", "hash")
     roots = components(pairs.mapInArrow(lean(_verify(similar)), "a long, b long").distinct(), "similar")
     forget(met)
-    placed = rows.join(roots, rows.hash == roots.node, "left").withColumn("cluster", F.coalesce("root", "hash")).drop("node", "root", "hash")
-    placed = placed.groupBy("cluster", "doc_id", "word_at").agg(F.max("word_to").alias("word_to"), F.min("char_at").alias("char_at"), F.max("char_to").alias("char_to"))
-    kept = placed.groupBy("cluster").agg(F.min(F.struct("doc_id", "word_at")).alias("k"), F.count("*").alias("n")).where("n > 1").select("cluster", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.word_at").alias("kept_at"))
-    found = placed.join(kept, "cluster").where("doc_id <> kept_doc_id or word_at <> kept_at").drop("cluster", "kept_at")
+    kept = stored(kept_places(rows, roots), "kept")
+    found = rows.join(kept, "hash").where("doc_id <> kept_doc_id or word_at <> kept_at").drop("hash", "kept_at")
     order = Window.partitionBy("doc_id").orderBy("word_at", F.desc("word_to"), "kept_doc_id")
     found = found.withColumn("new", F.when(F.col("word_at") <= F.max("word_to").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
     found = found.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
