@@ -56,8 +56,8 @@ CROWD = 1000
 MEMORY = 1 << 20
 
 _rng = np.random.default_rng(77)
-_XOR = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_MUL = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) | W.U64(1)
+_XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_MUL = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _KIND = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179], np.uint64)
 
 
@@ -126,18 +126,20 @@ class Units:
 
     def bands(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(band keys of the chosen units that have a shingle, the unit of each key)."""
-        keys, of = [], []
+        gram = (self.words.grams(SHINGLE)[0] >> W.U64(32)).astype(np.uint32)
+        kinds = []
         for kind, bands in enumerate((BANDS, SEGMENT_BANDS)):
-            mine = chosen[self.kind[chosen] == kind]
-            h, off = self.shingles(mine)
-            has = np.diff(off) > 0
-            out = np.zeros((int(has.sum()), bands), np.uint64)
-            for j in range(bands * ROWS if len(out) else 0):
-                low = np.minimum.reduceat((h ^ _XOR[j]) * _MUL[j], off[:-1][has])
-                out[:, j // ROWS] = W.mix(out[:, j // ROWS] * W.U64(31) + low + W.U64(j // ROWS) + _KIND[kind])
-            keys.append(out.ravel())
-            of.append(np.repeat(mine[has], bands))
-        return np.concatenate(keys), np.concatenate(of)
+            mine = np.sort(chosen[(self.kind[chosen] == kind) & (self.to[chosen] - self.at[chosen] >= SHINGLE)])
+            # reduceat takes [from, to) of each unit and of the gap behind it; the gaps are left out
+            ends = np.stack((self.at[mine], self.to[mine] - SHINGLE + 1), axis=1).ravel()
+            kinds.append((kind, bands, mine, ends, np.zeros((len(mine), bands), np.uint64)))
+        for j in range(BANDS * ROWS):
+            value = (gram ^ _XOR[j]) * _MUL[j]
+            for kind, bands, mine, ends, out in kinds:
+                if j < bands * ROWS and len(mine):
+                    low = np.minimum.reduceat(value, ends)[::2].astype(np.uint64)
+                    out[:, j // ROWS] = W.mix(out[:, j // ROWS] * W.U64(31) + low + W.U64(j // ROWS) + _KIND[kind])
+        return np.concatenate([k[4].ravel() for k in kinds]), np.concatenate([np.repeat(k[2], k[1]) for k in kinds])
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
@@ -216,51 +218,76 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return id_text(docs).join(lists, "doc_id").select("doc_id", "text", "hashes").mapInArrow(lean(run), "hash long, shingles binary").dropDuplicates(["hash"])
 
 
-def jaccard_to(pivot: np.ndarray, flat: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Exact Jaccard similarity of a sorted set to each of several, given flat with offsets."""
-    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
-    hit = np.zeros(len(flat) + 1, np.int64)
-    np.cumsum(pivot[at] == flat, out=hit[1:])
-    both = hit[off[1:]] - hit[off[:-1]]
-    return both / (len(pivot) + np.diff(off) - both)
-
-
-def _forest(hashes: list[int], sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
-    edges = []
-    left = list(range(len(hashes)))
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and left:
+def _pairs(off: np.ndarray, flat: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Exact Jaccard similarity of sets one[i] and two[i]; sets lie in ``flat`` with offsets, and have no repeats."""
+    both = np.stack((one, two), axis=1).ravel()
+    size = off[both + 1] - off[both]
+    pair = np.repeat(np.arange(len(both)) // 2, size)
+    value = flat[np.arange(len(pair)) - np.repeat(np.cumsum(size) - size - off[both], size)]
+    order = np.lexsort((value, pair))
+    pair, value = pair[order], value[order]
+    common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=len(one))
+    return common / np.maximum(size[::2] + size[1::2] - common, 1)
+
+
+def _forest(off: np.ndarray, flat: np.ndarray, similar: float) -> list[tuple[int, int]]:
+    """Spanning forest of sets that are ``similar`` by exact Jaccard; a set is held only against those that share a value with it."""
+    n, size = len(off) - 1, np.diff(off)
+    _, code = np.unique(flat, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    holder = np.repeat(np.arange(n), size)[order]
+    start = np.searchsorted(code[order], np.arange(code.max() + 2 if n else 1))
+    left, edges = np.ones(n, bool), []
+    for seed in range(n):
+        front = [seed] if left[seed] else []
+        left[seed] = False
+        while front and left.any():
             x = front.pop()
-            flat, off = np.concatenate([sets[i] for i in left]), np.concatenate(([0], np.cumsum([len(sets[i]) for i in left])))
-            near = jaccard_to(sets[x], flat, off) >= similar
-            hit = [i for i, yes in zip(left, near, strict=True) if yes]
-            edges += [(hashes[x], hashes[i]) for i in hit]
+            mine = code[off[x] : off[x + 1]]
+            many = start[mine + 1] - start[mine]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - start[mine], many)
+            common = np.bincount(holder[at], minlength=n)
+            hit = np.flatnonzero(left & (common >= similar * (size[x] + size - common))).tolist()
+            edges += [(x, i) for i in hit]
+            left[hit] = False
             front += hit
-            left = [i for i, yes in zip(left, near, strict=True) if not yes]
     return edges
 
 
 def _verify(similar: float):
-    """Batches sorted by group of (group, hash, shingles) -> (a, b)."""
-
-    def solve(hashes, sets):
-        order = {h: s for h, s in zip(hashes, sets, strict=True)}
-        return _forest(list(order), [np.frombuffer(s, np.uint64) for s in order.values()], similar)
+    """Batches sorted by group of (group, hash, shingles) -> (a, b); holds the sets of one batch and one group."""
+
+    def solve(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        group, hashes = t.column(0).to_numpy(), t.column(1).to_numpy()
+        sets = pa.chunked_array([c.cast(pa.large_binary()) for c in t.column(2).chunks]).combine_chunks()
+        bounds = np.frombuffer(sets.buffers()[1], np.int64)[sets.offset : sets.offset + len(sets) + 1]
+        flat = np.frombuffer(sets.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint64)
+        off = (bounds - bounds[0]) // 8
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        count = np.diff(np.append(first, len(group)))
+        two = first[count == 2]
+        two = two[_pairs(off, flat, two, two + 1) >= similar] if len(two) else two
+        a, b = [hashes[two]], [hashes[two + 1]]
+        for f, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            edges = np.array(_forest(off[f : f + n + 1] - off[f], flat[off[f] : off[f + n]], similar), np.int64).reshape(-1, 2) + f
+            a.append(hashes[edges[:, 0]])
+            b.append(hashes[edges[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     def run(batches):
-        now, hashes, sets = None, [], []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            edges: list[tuple[int, int]] = []
-            for key, h, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
-                    edges += solve(hashes, sets) if len(hashes) > 1 else []
-                    now, hashes, sets = key, [], []
-                hashes.append(h)
-                sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
-        edges = solve(hashes, sets) if len(hashes) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+            if not len(batch):
+                continue
+            group = np.asarray(batch.column(0))
+            cut = int(np.searchsorted(group, group[-1], side="left"))  # the last group may go on
+            if cut or (held and held[-1].column(0)[0].as_py() != group[0]):
+                yield solve([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield solve(held)
 
     return run
 

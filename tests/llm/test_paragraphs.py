@@ -151,10 +151,21 @@ def test_units_and_cuts():
     assert len(P.Units(pa.array([], pa.string()))) == 0 and len(P.Units(pa.array(["", None], pa.string()))) == 0
 
 
-def test_exact_jaccard():
-    a = np.array([1, 3, 5, 9], np.uint64)
-    flat = np.array([1, 3, 2, 9, 10, 1, 3, 5, 9], np.uint64)
-    assert P.jaccard_to(a, flat, np.array([0, 2, 5, 9])).tolist() == [0.5, 1 / 6, 1.0]
+@pytest.mark.parametrize("size", [1, 2, 5, 400])
+def test_verified_links_join_what_is_similar_and_nothing_else(size):
+    rng = np.random.default_rng(3)
+    rows = []
+    for group in np.sort(rng.choice(2**62, 60)) - 2**61:
+        base = np.unique(rng.integers(0, 2**63, 12, dtype=np.uint64))
+        for _ in range(rng.integers(1, 9)):
+            new = np.unique(np.concatenate((base[rng.random(len(base)) > 0.1], rng.integers(0, 2**63, rng.integers(0, 4), dtype=np.uint64))))
+            rows.append((int(group), len(rows), new.tobytes()))
+    schema = pa.schema([("group", pa.int64()), ("hash", pa.int64()), ("shingles", pa.binary())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + size]], schema) for i in range(0, len(rows), size)]
+    got = [tuple(r.values()) for b in P._verify(0.6)(batches) for r in b.to_pylist()]
+    sets = [set(np.frombuffer(r[2], np.uint64).tolist()) for r in rows]
+    want = [(i, j) for j in range(len(rows)) for i in range(j) if rows[i][0] == rows[j][0] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6]
+    assert set(map(tuple, map(sorted, got))) <= set(want) and closure(got) == closure(want) and len(want) > len(got) > 50
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
