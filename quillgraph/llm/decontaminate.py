@@ -1,9 +1,9 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-A benchmark item is the set of its shingles of SHINGLE words (an item of fewer
-words is one shingle of all its words). A document is contaminated by an item
-if some window of as many words as the item holds at least SHARE of the
-item's shingles.
+A text of a benchmark item is the set of its shingles of SHINGLE words (one of
+fewer words is one shingle of all its words). A document is contaminated by an
+item if some window of as many words as one of the item's texts holds at least
+SHARE of that text's shingles.
 
 One scan of the documents finds where benchmark shingles occur. Their document
 counts over the whole corpus order each item's shingles by rarity; a window
@@ -15,10 +15,13 @@ and in these the distinct shingles are counted exactly.
 The benchmark is sent to the executors in blocks of at most BLOCK shingles,
 one scan for each block, so its size bounds nothing.
 
-Defined cases: null or empty texts and items match nothing; rows are taken one
-by one, and of repeated ids the best window counts; of equal windows the first
-counts; documents without an id are left out of the result; an empty table on
-either side gives an empty result.
+Defined cases: null or empty texts and items match nothing; each row of an
+item_id is searched by itself, whatever its length, and repeated rows are one;
+of several texts of an item, and of several documents of an id, the window with
+the greatest share counts, then that with the most shingles, then the first;
+documents and items without an id are left out of the result; an empty table
+on either side gives an empty result; texts are read whole; other columns are
+never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ BLOCK = 2_000_000
 
 
 def item_shingles(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(item_id, gram, n, words, gram_words): the distinct shingles of each item."""
+    """(part, item_id, gram, n, words, gram_words): the distinct shingles of each text (``part``) of an item."""
 
     def run(batches):
         for batch in batches:
@@ -58,14 +61,12 @@ def item_shingles(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
                 if rows:
                     doc, gram, size, length = np.concatenate(rows, axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(doc + at)), pa.array(gram), pa.array(length), pa.array(size)], ["item_id", "gram", "words", "gram_words"]
+                        [batch.column(2).take(pa.array(doc + at)), batch.column(0).take(pa.array(doc + at)), pa.array(gram), pa.array(length), pa.array(size)], ["part", "item_id", "gram", "words", "gram_words"]
                     )
 
-    items = id_text(benchmark, "item_id").where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    grams = items.mapInArrow(lean(run), "item_id long, gram long, words long, gram_words long")
-    one = F.max("words").over(Window.partitionBy("item_id"))  # of several texts under one id the longest counts
-    grams = grams.withColumn("most", one).where("words = most").drop("most").distinct()
-    return grams.withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
+    items = id_text(benchmark, "item_id").where("doc_id is not null").dropDuplicates(["doc_id", "text"]).withColumn("part", F.xxhash64("doc_id", "text"))
+    grams = items.mapInArrow(lean(run), "part long, item_id long, gram long, words long, gram_words long").distinct()
+    return grams.withColumn("n", F.count("*").over(Window.partitionBy("part")))  # as many rows as one text has words
 
 
 def occurrences(docs: DataFrame, grams: np.ndarray, sizes: list[int]) -> DataFrame:
@@ -95,7 +96,7 @@ def occurrences(docs: DataFrame, grams: np.ndarray, sizes: list[int]) -> DataFra
 
 
 def _best_windows(batches):
-    """Sorted (row, doc_id, item_id, n, span, at, gram, is_prefix) -> best window of each row and item."""
+    """Sorted (row, doc_id, part, item_id, n, span, at, gram, is_prefix) -> best window of each row and text of an item."""
 
     def best(at, gram, prefix, span):
         # windows start at an occurrence; count distinct shingles with two pointers
@@ -119,8 +120,8 @@ def _best_windows(batches):
 
     def solve(rows):
         out = []
-        row, doc, item, n, span, at, gram, prefix = rows
-        key = list(zip(row, item, strict=True))
+        row, doc, part, item, n, span, at, gram, prefix = rows
+        key = list(zip(row, part, strict=True))
         cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a < b:
@@ -161,17 +162,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, share:
     found = reduce(DataFrame.unionByName, found)
     rarity = found.groupBy("gram").agg(F.countDistinct("row").alias("df"))
     need = F.ceil(F.col("n") * share - 1e-9)
-    order = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "gram"))
+    order = F.row_number().over(Window.partitionBy("part").orderBy("df", "gram"))
     ranked = items.join(rarity, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", order).withColumn("need", need)
     ranked = ranked.withColumn("is_prefix", (F.col("rank") <= F.col("n") - F.col("need") + 1).cast("int"))
-    ranked = stored(ranked.select("item_id", "gram", "n", "need", "is_prefix", (F.col("words") - F.col("gram_words")).alias("span"), "gram_words"), "ranked")
+    ranked = stored(ranked.select("part", "item_id", "gram", "n", "need", "is_prefix", (F.col("words") - F.col("gram_words")).alias("span"), "gram_words"), "ranked")
     # length bound: a document needs room for the needed shingles
-    met = found.join(ranked.where("is_prefix = 1"), "gram").where("doc_words >= least(need, span + 1) + gram_words - 1").select("row", "item_id").distinct()
-    rows = found.join(ranked, "gram").join(met, ["row", "item_id"], "left_semi")
-    rows = rows.select("row", "doc_id", "item_id", "n", "span", "at", "gram", "is_prefix").repartition("row").sortWithinPartitions("row", "item_id", "at", "gram")
+    met = found.join(ranked.where("is_prefix = 1"), "gram").where("doc_words >= least(need, span + 1) + gram_words - 1").select("row", "part").distinct()
+    rows = found.join(ranked, "gram").join(met, ["row", "part"], "left_semi")
+    rows = rows.select("row", "doc_id", "part", "item_id", "n", "span", "at", "gram", "is_prefix").repartition("row").sortWithinPartitions("row", "part", "at", "gram")
     best = rows.mapInArrow(lean(_best_windows), "doc_id long, item_id long, shingles long, matched long, word_at long")
     best = best.where(F.col("matched") >= F.ceil(F.col("shingles") * share - 1e-9)).where("doc_id is not null")
-    best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("word_at")).alias("w"), "shingles")).alias("b"))
+    share_of = (F.col("matched") / F.col("shingles")).alias("s")
+    best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct(share_of, "matched", (-F.col("word_at")).alias("w"), "shingles")).alias("b"))
     return best.select("doc_id", "item_id", "b.matched", "b.shingles", F.round(F.col("b.matched") / F.col("b.shingles"), 6).alias("containment"), (-F.col("b.w")).alias("word_at"))
 
 
@@ -184,19 +186,17 @@ def sql(k: int = SHINGLE, share: float = SHARE) -> str:
     """The same in DuckDB."""
     words = r"regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+')"
     return f"""
-WITH iw AS (SELECT item_id, {words} AS ws FROM benchmark WHERE item_id IS NOT NULL),
-io AS (SELECT item_id, max_by(ws, len(ws)) AS ws FROM iw GROUP BY item_id),
-ik AS (SELECT item_id, ws, least({k}, len(ws)) AS k FROM io WHERE len(ws) > 0),
-ig AS (SELECT item_id, k, len(ws) AS nw, unnest([array_to_string(ws[p:p + k - 1], ' ') for p in range(1, len(ws) - k + 2)]) AS gram FROM ik),
-items AS (SELECT DISTINCT item_id, k, nw, gram FROM ig),
-sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM items),
+WITH iw AS (SELECT row_number() OVER () AS part, item_id, ws FROM (SELECT DISTINCT item_id, {words} AS ws FROM benchmark WHERE item_id IS NOT NULL)),
+ik AS (SELECT part, item_id, ws, least({k}, len(ws)) AS k FROM iw WHERE len(ws) > 0),
+ig AS (SELECT part, item_id, k, len(ws) AS nw, unnest([array_to_string(ws[p:p + k - 1], ' ') for p in range(1, len(ws) - k + 2)]) AS gram FROM ik),
+items AS (SELECT DISTINCT part, item_id, k, nw, gram FROM ig),
+sized AS (SELECT *, count(*) OVER (PARTITION BY part) AS n FROM items),
 dw AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents WHERE doc_id IS NOT NULL),
 dg AS (SELECT r, doc_id, k, unnest([{{'p': p, 'g': array_to_string(ws[p:p + k - 1], ' ')}} for p in range(1, len(ws) - k + 2)]) AS u
        FROM dw, (SELECT DISTINCT k FROM ik) WHERE len(ws) >= k),
-hits AS (SELECT r, doc_id, item_id, n, nw, sized.k, u.p AS p, gram FROM dg JOIN sized ON u.g = sized.gram AND dg.k = sized.k),
-win AS (SELECT a.r, a.doc_id, a.item_id, a.n, a.p, count(DISTINCT b.gram) AS matched
-        FROM (SELECT DISTINCT r, doc_id, item_id, n, nw, k, p FROM hits) a JOIN hits b
-        ON a.r = b.r AND a.item_id = b.item_id AND b.p BETWEEN a.p AND a.p + a.nw - a.k GROUP BY ALL),
-best AS (SELECT doc_id, item_id, n, max(matched) AS matched, arg_max(p, (matched, -p)) AS p FROM win GROUP BY ALL)
-SELECT doc_id, item_id, matched, n AS shingles, round(matched / n, 6) AS containment, p - 1 AS word_at
-FROM best WHERE matched >= ceil({share} * n - 1e-9)"""
+hits AS (SELECT r, doc_id, part, item_id, n, nw, sized.k, u.p AS p, gram FROM dg JOIN sized ON u.g = sized.gram AND dg.k = sized.k),
+win AS (SELECT a.r, a.doc_id, a.part, a.item_id, a.n, a.p, count(DISTINCT b.gram) AS matched
+        FROM (SELECT DISTINCT r, doc_id, part, item_id, n, nw, k, p FROM hits) a JOIN hits b
+        ON a.r = b.r AND a.part = b.part AND b.p BETWEEN a.p AND a.p + a.nw - a.k GROUP BY ALL),
+best AS (SELECT doc_id, item_id, arg_max({{'n': n, 'm': matched, 'p': p}}, (matched / n, matched, -p)) AS b FROM win WHERE matched >= ceil({share} * n - 1e-9) GROUP BY ALL)
+SELECT doc_id, item_id, b.m AS matched, b.n AS shingles, round(b.m / b.n, 6) AS containment, b.p - 1 AS word_at FROM best"""

@@ -47,3 +47,13 @@ def test_blocks_of_the_benchmark_give_the_same(spark, sf, monkeypatch):
     whole = sorted(decontaminate.contaminated(docs, bench).collect())
     monkeypatch.setattr(decontaminate, "BLOCK", 300)
     assert sorted(decontaminate.contaminated(docs, bench).collect()) == whole
+
+
+def test_every_text_of_an_item_is_searched(spark):
+    text = lambda x, n=30: " ".join(f"{x}{k}" for k in range(n))
+    bench = spark.createDataFrame([(7, text("a")), (7, text("b")), (8, text("c", 60)), (8, text("d", 9)), (8, None), (9, text("e")), (9, text("e")), (9, text("e", 10))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + text("a")), (2, text("b") + " y"), (3, text("c", 60)), (4, "z z " + text("d", 9)), (5, text("a", 15) + " " + text("b", 15)), (6, text("e", 12)), (7, "q " + text("e"))], "doc_id long, text string")
+    got, want = both(spark, docs, bench)
+    assert got == want
+    assert {(r[0], r[1]) for r in got} == {(1, 7), (2, 7), (3, 8), (4, 8), (6, 9), (7, 9)}
+    assert next(r[2:] for r in got if r[0] == 7) == (26, 26, 1.0, 1)
