@@ -1,9 +1,9 @@
 """Secret scans with structural confirmation.
 
 Candidates are stretches of 12 bytes or more of the base64 alphabets, ``=`` and
-``.``, that could hold a secret (a digit, 40 bytes, AKIA or ASIA, ``=``, or
-only hex letters; a base64 value needs a digit to count), and armoured key
-blocks. A candidate is reported only if it decodes to the structure of its
+``.``, that could hold a secret (a digit, 40 bytes, AKIA or ASIA, ``=``, two
+full stops, or only hex letters; a base64 value needs a digit to count), and
+armoured key blocks. A candidate is reported only if it decodes to the structure of its
 kind:
 
 - ``private_key`` / ``public_key``: base64 or hex that decodes to DER whose
@@ -12,20 +12,30 @@ kind:
   nested lengths. Armoured blocks must hold such data.
 - ``signed_token``: three base64url parts, the first a JSON object that names
   its algorithm, the second a JSON object, the third a signature.
-- ``access_key_id``: AKIA or ASIA and 16 characters that decode as base32.
+- ``access_key_id``: AKIA or ASIA and 16 characters of base32. Its first 40
+  bits after a leading one are an account number; the id is confirmed if that
+  is a number of 12 digits.
 - ``checked_token``: gh?_ tokens whose CRC-32 in base 62 agrees.
 - ``hex_secret`` / ``base64_secret``: a value assigned to a name such as token
   or password, that decodes and whose digits vary as random ones do.
 
+``confirmed`` is true where the content has the structure of its kind; the
+last two kinds, and ids whose account number is none, have no structure that
+could be checked, and are reported as the lower class.
+
 Defined cases: null and empty texts hold none; rows without an id are reported
-with a null id; repeated rows are reported each; texts are read whole; an
-empty table gives an empty result.
+with a null id; repeated rows are reported each; several kinds in one stretch
+are each reported, and what lies inside an armoured block or a confirmed token
+isn't reported again; of two readings of a value's end that of a key counts;
+texts are read whole; an empty table gives an empty result; other columns are
+never read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 import zlib
@@ -146,64 +156,82 @@ def _varied(value: str, hexa: bool) -> bool:
     return max(count.values()) <= max(3, 0.3 * len(value)) and len(count) >= (6 if hexa else 10)
 
 
-def confirm(text: str, at: int, to: int) -> list[tuple[str, str, int, int]]:
-    """(kind, format, from, to) of what the candidate at text[at:to] holds."""
+def account(key_id: str) -> int:
+    """The account number in the 16 characters after AKIA or ASIA."""
+    return (int.from_bytes(base64.b32decode(key_id)[:6], "big") & 0x7FFFFFFFFF80) >> 7
+
+
+def confirm(text: str, at: int, to: int) -> list[tuple[str, str, bool, int, int]]:
+    """(kind, format, confirmed, from, to) of what the candidate at text[at:to] holds."""
     run = text[at:to]
     out = []
     for m in _JWT.finditer(run):
         head = _json_object(m[1])
         alg = head.get("alg") if head else None
         if isinstance(alg, str) and _json_object(m[2]) is not None and (_unbase64(m[3]) or alg.lower() == "none"):
-            out.append(("signed_token", alg[:16], at + m.start(), at + m.end()))
+            out.append(("signed_token", alg[:16], True, at + m.start(), at + m.end()))
     for m in _ID.finditer(run):
-        base64.b32decode(m[1])
-        out.append(("access_key_id", run[m.start() : m.start() + 4], at + m.start(), at + m.end()))
+        out.append(("access_key_id", run[m.start() : m.start() + 4], account(m[1]) < 10**12, at + m.start(), at + m.end()))
     for m in _TOKEN.finditer(run):
         crc, want = zlib.crc32(m[1].encode()), ""
         for _ in range(6):
             crc, digit = divmod(crc, 62)
             want = _B62[digit] + want
         if want == m[2]:
-            out.append(("checked_token", m[0][:4], at + m.start(), at + m.end()))
-    if out:
-        return out
-    # '.' and '-' may end the sentence; '-' may also be the last character of a base64url value, so that counts first unless the rest is a key
-    found = [_value(text, at, at + end) for end in dict.fromkeys((len(run.rstrip(".")), len(run.rstrip(".-"))))]
-    return max(found, key=lambda x: (bool(x) and x[0][0].endswith("_key"), bool(x)))
+            out.append(("checked_token", m[0][:4], True, at + m.start(), at + m.end()))
+    # the stretches between these may hold more
+    edges = [at, *(x for f in sorted(out, key=lambda f: f[3]) for x in f[3:]), to]
+    for a, z in zip(edges[::2], edges[1::2], strict=True):
+        if z - a >= SHORTEST:
+            # '.' and '-' may end the sentence; '-' may also be the last character of a base64url value, so that counts first unless the rest is a key
+            rest = text[a:z]
+            found = [_value(text, a, a + end) for end in dict.fromkeys((len(rest.rstrip(".")), len(rest.rstrip(".-"))))]
+            out += max(found, key=lambda x: (bool(x) and x[0][0].endswith("_key"), bool(x)))
+    return out
+
+
+def _name_start(text: str, at: int) -> int:
+    """Where a name starts whose assignment may end at ``at``: back over quotes, blanks and signs, then over the name."""
+    least = max(0, at - 12)  # two quotes, two times four blanks, two signs
+    while at > least and text[at - 1] in "\"' \t\r\n\f\v:=>":
+        at -= 1
+    while at > 0 and (text[at - 1] in "_-" or text[at - 1].isascii() and text[at - 1].isalnum()):
+        at -= 1
+    return max(0, at - 1)  # and the character before, which must not be of a name
 
 
-def _value(text: str, at: int, to: int) -> list[tuple[str, str, int, int]]:
+def _value(text: str, at: int, to: int) -> list[tuple[str, str, bool, int, int]]:
     """As ``confirm``, of a key or an assigned value that ends at ``to``."""
     run = text[at:to]
-    m = _ASSIGN.search(text[max(0, at - 80) : to])
+    m = _ASSIGN.search(text[_name_start(text, at) : to])
     value = m[2] if m else run.lstrip(".=-")
     first = to - len(value)
     if re.fullmatch(r"(?:[0-9a-fA-F]{2})+", value):
         kind = key_kind(bytes.fromhex(value))
         if kind:
-            return [(*kind, first, first + len(value))]
-        return [("hex_secret", f"{len(value) * 4} bit", first, to)] if m and _varied(value, True) else []
+            return [(*kind, True, first, first + len(value))]
+        return [("hex_secret", f"{len(value) * 4} bit", False, first, to)] if m and _varied(value, True) else []
     data = _unbase64(value) if len(value) >= 16 else None
     if data:
         kind = key_kind(data)
         if kind:
-            return [(*kind, first, first + len(value))]
+            return [(*kind, True, first, first + len(value))]
         mixed = len({"u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "" for c in value} - {""}) == 3
         if m and mixed and "." not in value and _varied(value, False):
-            return [("base64_secret", f"{len(data) * 8} bit", first, to)]
+            return [("base64_secret", f"{len(data) * 8} bit", False, first, to)]
     return []
 
 
-def _armoured(text: str) -> list[tuple[str, str, int, int]]:
+def _armoured(text: str) -> list[tuple[str, str, bool, int, int]]:
     out = []
     for m in _ARMOUR.finditer(text):
         body = "".join(x for x in re.sub(r"(?m)^[A-Za-z-]+: .*$", "", m[2]).split())
         data = _unbase64(body)
         kind = key_kind(data) if data else None
         if kind:
-            out.append((*kind, m.start(), m.end()))
+            out.append((*kind, True, m.start(), m.end()))
         elif data and "ENCRYPTED" in m[0]:
-            out.append(("private_key", "encrypted", m.start(), m.end()))
+            out.append(("private_key", "encrypted", True, m.start(), m.end()))
     return out
 
 
@@ -215,7 +243,7 @@ def _key_starts(raw: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, format, char_at, char_to), a row for each secret; the secret itself isn't in the result."""
+    """(doc_id, kind, format, confirmed, char_at, char_to), a row for each secret; the secret itself isn't in the result."""
 
     def run(batches):
         for batch in batches:
@@ -237,32 +265,32 @@ def scan(docs: DataFrame) -> DataFrame:
                 digits = np.zeros(len(raw) + 1, np.int64)
                 np.cumsum(_DIGIT[raw], out=digits[1:])
                 good = (digits[end] > digits[begin]) | (end - begin >= LONG)
-                for mark in (_key_starts(raw), raw == 61):
+                for mark, least in ((_key_starts(raw), 1), (raw == 61, 1), (raw == 46, 2)):
                     sums = np.zeros(len(raw) + 1, np.int64)
                     np.cumsum(mark, out=sums[1:])
-                    good |= sums[end] > sums[begin]
+                    good |= sums[end] - sums[begin] >= least
                 np.cumsum(_HEX[raw], out=digits[1:])
                 good |= digits[end] - digits[begin] == end - begin
                 begin, end = begin[good], end[good]
                 owner = np.searchsorted(off, begin, side="right") - 1
-                found: list[tuple[int, str, str, int, int]] = []
-                armour = [i for i in np.unique(owner).tolist() if raw[off[i] : off[i + 1]].tobytes().find(b"-----BEGIN ") >= 0]
-                covered = {}
-                for i in armour:
-                    covered[i] = _armoured(part[i].as_py())
-                    found += [(i, *x) for x in covered[i]]
+                chars = np.zeros(len(raw) + 1, np.int64)
+                np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
+                found: list[tuple[int, str, str, bool, int, int]] = []
                 for i in np.unique(owner).tolist():
-                    data = raw[off[i] : off[i + 1]].tobytes()
                     text = part[i].as_py()
-                    same = len(text) == len(data)
-                    for b, e in zip((begin[owner == i] - off[i]).tolist(), (end[owner == i] - off[i]).tolist(), strict=True):
-                        a, z = (b, e) if same else (len(data[:b].decode()), len(data[:e].decode()))
-                        if not any(x[2] <= a and z <= x[3] for x in covered.get(i, ())):
+                    blocks = _armoured(text) if "-----BEGIN " in text else []  # in order, none overlaps another
+                    found += [(i, *x) for x in blocks]
+                    starts = [x[3] for x in blocks]
+                    mine = slice(*np.searchsorted(owner, (i, i + 1)))
+                    for a, z in zip((chars[begin[mine]] - chars[off[i]]).tolist(), (chars[end[mine]] - chars[off[i]]).tolist(), strict=True):
+                        k = bisect.bisect_right(starts, a) - 1
+                        if k < 0 or blocks[k][4] < z:
                             found += [(i, *x) for x in confirm(text, a, z)]
-                cols = list(zip(*found, strict=True)) or [[]] * 5
+                cols = list(zip(*found, strict=True)) or [[]] * 6
+                types = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.array(cols[0], np.int64) + first)), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
-                    ["doc_id", "kind", "format", "char_at", "char_to"],
+                    [batch.column(0).take(pa.array(np.array(cols[0], np.int64) + first)), *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))],
+                    ["doc_id", "kind", "format", "confirmed", "char_at", "char_to"],
                 )
 
-    return id_text(docs).mapInArrow(lean(run), "doc_id long, kind string, format string, char_at long, char_to long")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, kind string, format string, confirmed boolean, char_at long, char_to long")

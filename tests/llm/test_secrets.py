@@ -76,16 +76,55 @@ def test_random_bytes_are_not_keys():
     assert S.key_kind(deep) is None
 
 
-def test_all_planted_in_the_table(spark):
+def test_all_kinds_in_the_table_against_brute_force(spark):
     import re
 
     from quillgraph.llm.common import table
 
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    want = {(r.doc_id, m[1]) for r in docs.collect() for m in re.finditer(r'(?:token = "|password=)([0-9a-f]{18,40})|(?<![A-Z0-9])(AKIA[A-Z2-7]{16})(?![A-Z0-9])', r.text) if m[1]}
     text = {r.doc_id: r.text for r in docs.collect()}
-    got = {(r.doc_id, text[r.doc_id][r.char_at : r.char_to]) for r in S.scan(docs).collect() if r.kind == "hex_secret"}
-    assert got == want and want
+    got = {(r.doc_id, r.kind, text[r.doc_id][r.char_at : r.char_to]) for r in S.scan(docs).collect()}
+    want = set()
+    for d, t in text.items():
+        want |= {(d, "hex_secret", m[1]) for m in re.finditer(r'(?:token = "|password=)([0-9a-f]{18,40})', t)}
+        want |= {(d, "access_key_id", m[0]) for m in re.finditer(r"(?<![A-Za-z0-9])A[KS]IA[A-Z2-7]{16}(?![A-Za-z0-9])", t)}
+        for m in re.finditer(r"[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", t):
+            try:
+                head, body = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in m[0].split(".")[:2])
+            except ValueError:
+                continue
+            if isinstance(head, dict) and isinstance(body, dict) and "alg" in head:
+                want.add((d, "signed_token", m[0]))
+        for m in re.finditer(r"-----BEGIN ([A-Z ]*KEY)-----(.*?)-----END \1-----", t, re.S):
+            if S.key_kind(base64.b64decode("".join(m[2].split()))):
+                want.add((d, "private_key", m[0]))
+    assert got == want and len(want) > 20
+
+
+def test_classes_account_numbers_and_several_kinds_in_one_run(spark):
+    word = lambda number: base64.b32encode(((number << 7) | 1 << 47).to_bytes(6, "big") + b"abcd").decode()
+    good, bad, value = "AKIA" + word(123456789012), "AKIA" + word(10**12 + 5), "45bb0d53635bf1b89d"
+    assert S.account(good[4:]) == 123456789012
+    jwt = ".".join([b64url(json.dumps({"alg": "none"}).encode()), b64url(b"{}"), ""])
+    texts = [good, bad, f"id={good};x", f"{good}=password={value}", f"{good}.token={value}", f"token: {jwt} so", "a" * 300 + f"-secret-key = '{value}'"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.kind, r.confirmed, texts[r.doc_id][r.char_at : r.char_to]) for r in S.scan(df).orderBy("doc_id", "char_at").collect()]
+    assert got == [
+        (0, "access_key_id", True, good), (1, "access_key_id", False, bad), (2, "access_key_id", True, good), (3, "access_key_id", True, good), (3, "hex_secret", False, value),
+        (4, "access_key_id", True, good), (4, "hex_secret", False, value), (5, "signed_token", True, jwt), (6, "hex_secret", False, value),
+    ]
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    took = []
+    for letter in ("a", "é"):
+        df = spark.createDataFrame([(0, f"{letter}{letter} token=45bb0d53635bf1b89d " * 14_000)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert S.scan(df).count() == 14_000
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 * took[0] + 2
 
 
 def test_odd_rows(odd, none):
