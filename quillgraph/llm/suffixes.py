@@ -15,6 +15,11 @@ cover position (five at most) and the rank there; so ties of any length cost
 one comparison and memory holds ranks for 4 of 13 positions only. Neighbours
 in this order that agree on MIN_WORDS words are repeats, word by word.
 
+A bucket of over CROWD occurrences (a licence in a third of all documents) isn't
+held by one task. Its suffixes are grouped by the hash of their MIN_WORDS words,
+combined before the shuffle; agreement on these words is all that the sorting
+tells, so the result is the same.
+
 Of each repeated stretch the occurrence with the smallest (doc_id, word) stays
 and the others are reported; overlapping and adjoining ones of a document are
 merged. Inside one document an occurrence that overlaps the one that stays is
@@ -22,7 +27,8 @@ left alone.
 
 Defined cases: null and empty texts and texts under MIN_WORDS words have no
 passages; rows without an id take no part; repeated rows of one id are one
-document; an empty table gives an empty result; texts are read whole.
+document; an empty table gives an empty result; texts are read whole; other
+columns are never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,10 +39,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import id_text, lean, stored, text_of
+from .common import forget, id_text, lean, stored, text_of
 
 MIN_WORDS = 50
 GRAM = 14
+#: Occurrences of a gram that one task sorts; those of a more frequent one are grouped by hash.
+CROWD = 5000
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 _TO_COVER = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
@@ -76,27 +84,62 @@ def anchor_table(docs: DataFrame, least: int = MIN_WORDS, k: int = GRAM) -> Data
     return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), "gram long, doc_id long, at long")
 
 
+def _with_lists(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(doc_id, text, ats) of the documents that ``met`` (doc_id, at) names."""
+    lists = met.groupBy("doc_id").agg(F.collect_set("at").alias("ats")).hint("merge")  # the lists grow with the documents
+    return id_text(docs).join(lists, "doc_id").select("doc_id", "text", "ats")
+
+
+def _wanted(w: W.Words, asked: pa.ListArray, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, first suffix, last suffix) of the asked anchors of a pass, and the gram hashes."""
+    ok, to, gram = anchors(w, least, k)
+    off = np.asarray(asked.offsets).astype(np.int64)
+    row = np.repeat(np.arange(len(asked)), np.diff(off))
+    at = np.asarray(asked.values)[off[0] : off[-1]] + w.doc_words[row]
+    inside = at < w.doc_words[row + 1]  # another row of the same id may be shorter
+    at, row = at[inside], row[inside]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    lo, hi = np.searchsorted(to, at, side="left"), np.searchsorted(to, at, side="right")
+    has = hi > lo
+    return row[has], at[has], ok[lo[has]], ok[hi[has] - 1], gram
+
+
+def suffix_hashes(docs: DataFrame, met: DataFrame, least: int = MIN_WORDS, k: int = GRAM) -> DataFrame:
+    """(hash, doc_id, at): the hash of the first ``least`` words of each suffix of the wanted anchors."""
+
+    def run(batches):
+        for batch in batches:
+            for first, part in W.passes(text_of(batch)):
+                w = W.split(part)
+                row, _, lo, hi, _ = _wanted(w, batch.column(2).slice(first, len(part)), least, k)
+                size = hi - lo + 1
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo, size)
+                row = np.repeat(row, size)
+                whole = w.grams(least)[0][at]
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(row + first)), pa.array(at - w.doc_words[row])], ["hash", "doc_id", "at"])
+
+    return _with_lists(docs, met).mapInArrow(lean(run), "hash long, doc_id long, at long")
+
+
+def crowded(docs: DataFrame, met: DataFrame, least: int, k: int) -> DataFrame:
+    """(doc_id, word_at, word_to, kept_doc_id, kept_at) of repeats in crowded buckets ``met`` (doc_id, at)."""
+    rows = stored(suffix_hashes(docs, met, least, k), "crowded-suffixes")
+    place = F.struct("doc_id", "at")
+    kept = rows.groupBy("hash").agg(F.min(place).alias("k"), F.max(place).alias("l")).where("k <> l").select("hash", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.at").alias("kept_at"))
+    gone = (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("at") >= F.col("kept_at") + least)
+    return rows.join(kept, "hash").where(gone).select("doc_id", F.col("at").alias("word_at"), (F.col("at") + least).alias("word_to"), "kept_doc_id", "kept_at")
+
+
 def stretches(docs: DataFrame, met: DataFrame, least: int = MIN_WORDS, k: int = GRAM) -> DataFrame:
     """(gram, doc_id, start, at, words): the words that the suffixes of each wanted anchor reach over."""
-    lists = met.groupBy("doc_id").agg(F.collect_set("at").alias("ats")).hint("merge")  # the lists grow with the documents
 
     def run(batches):
         for batch in batches:
             wanted = batch.column(2)
             for first, part in W.passes(text_of(batch)):
                 w = W.split(part)
-                ok, to, gram = anchors(w, least, k)
-                mine = wanted.slice(first, len(part))
-                off = np.asarray(mine.offsets).astype(np.int64)
-                row = np.repeat(np.arange(len(part)), np.diff(off))
-                at = np.asarray(mine.values)[off[0] : off[-1]] + w.doc_words[row]
-                inside = at < w.doc_words[row + 1]  # another row of the same id may be shorter
-                at, row = at[inside], row[inside]
-                order = np.argsort(at, kind="stable")
-                at, row = at[order], row[order]
-                lo, hi = np.searchsorted(to, at, side="left"), np.searchsorted(to, at, side="right")
-                has = hi > lo
-                at, row, lo, hi = at[has], row[has], ok[lo[has]], ok[hi[has] - 1]
+                row, at, lo, hi, gram = _wanted(w, wanted.slice(first, len(part)), least, k)
                 size = hi - lo + least
                 bounds = np.concatenate(([0], np.cumsum(size)))
                 index = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - lo, size)
@@ -108,7 +151,7 @@ def stretches(docs: DataFrame, met: DataFrame, least: int = MIN_WORDS, k: int =
                     ["gram", "doc_id", "start", "at", "words"],
                 )
 
-    return id_text(docs).join(lists, "doc_id").select("doc_id", "text", "ats").mapInArrow(lean(run), "gram long, doc_id long, start long, at long, words binary")
+    return _with_lists(docs, met).mapInArrow(lean(run), "gram long, doc_id long, start long, at long, words binary")
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -227,7 +270,7 @@ def _repeats(least: int):
     def go(parts):
         t = pa.Table.from_batches(parts).combine_chunks()
         gram, doc, start, at = (t.column(i).to_numpy() for i in range(4))
-        flat = pa.concat_arrays(t.column(4).chunks).cast(pa.large_binary())
+        flat = pa.concat_arrays([c.cast(pa.large_binary()) for c in t.column(4).chunks])
         off = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
         words = np.frombuffer(flat.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint64)
         return solve(gram, doc, start, at, np.diff(off) // 8, words)
@@ -237,10 +280,15 @@ def _repeats(least: int):
 
 def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """(doc_id, word_at, word_to, words, kept_doc_id): stretches of words that repeat an earlier one; ``kept_doc_id`` has the one that stays."""
-    count = F.count("*").over(Window.partitionBy("gram"))
-    met = stored(anchor_table(docs, least, gram).withColumn("n", count).where("n > 1").drop("n"), "met-anchors")
-    rows = stretches(docs, met.select("doc_id", "at"), least, gram).repartition("gram").sortWithinPartitions("gram")
+    all_ = stored(anchor_table(docs, least, gram), "anchors")
+    many = all_.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(all_.join(many.hint("merge"), "gram").select("doc_id", "at", "n"), "met-anchors")
+    forget(all_)
+    rows = stretches(docs, met.where(F.col("n") <= CROWD).select("doc_id", "at"), least, gram).repartition("gram").sortWithinPartitions("gram")
     found = rows.mapInArrow(lean(_repeats(least)), "doc_id long, word_at long, word_to long, kept_doc_id long, kept_at long")
+    crowds = met.where(F.col("n") > CROWD).select("doc_id", "at")
+    if not crowds.isEmpty():
+        found = stored(found, "sorted").unionByName(crowded(docs, crowds, least, gram))
     before = Window.partitionBy("doc_id").orderBy("word_at", F.desc("word_to"), "kept_doc_id").rowsBetween(Window.unboundedPreceding, -1)
     island = Window.partitionBy("doc_id").orderBy("word_at", F.desc("word_to"), "kept_doc_id").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("new", F.when(F.col("word_at") <= F.max("word_to").over(before), 0).otherwise(1))

@@ -54,6 +54,20 @@ def test_small_alphabets(spark, least, gram, seed):
     assert covered(S.passages(docs, least, gram)) == brute(rows, least)
 
 
+def test_crowded_buckets_are_grouped_by_hash(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    for crowd in (1, 3):
+        monkeypatch.setattr(S, "CROWD", crowd)
+        assert covered(S.passages(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()], S.MIN_WORDS)
+
+
+def test_one_passage_in_very_many_rows(spark):
+    head = " ".join(f"licence{i}" for i in range(60))
+    docs = spark.range(200_000).selectExpr("id as doc_id", f"concat(id, ' own words ', id * 7, ' {head} then ', id * 13, ' ends') as text")
+    got = S.passages(docs)
+    assert got.count() == 199_999 and got.agg({"kept_doc_id": "max"}).first()[0] == 0 and got.agg({"words": "min"}).first()[0] == 61
+
+
 def test_bucket_is_sorted_by_words():
     rng = np.random.default_rng(3)
     size = rng.integers(20, 60, 40)
