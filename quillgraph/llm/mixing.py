@@ -12,9 +12,11 @@ systematic sampling, with their probabilities and the nearest number of
 documents.
 
 Defined cases: a null source is a source of its own; rows without an id are
-left out; several rows of one id are one unit with their words added; a
-document without words has the probability of its source; an empty table
-gives an empty result; tied sizes move in pairs.
+left out; several rows of one id are one unit with their words added, of the
+smallest source among them; a document without words (null or empty text) has
+the probability of its source; texts are counted whole; an empty table gives
+an empty result; tied sizes move in pairs; other columns are carried along by
+``mixed`` and never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BUDGET = 0.85
 #: Target weight of a source: its tokens to this power, normalised, if no weights are given.
 POWER = 0.7
 BLOCK = 20_000
+#: Sources up to which their probabilities are broadcast (about 10 MB); of more, both sides are sorted and merged.
+FEW_SOURCES = 100_000
 SEED = 11
 
 
@@ -52,22 +56,27 @@ def token_table(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("mix_source").alias("mix_source"), F.sum("tokens").alias("tokens"))
 
 
-def inclusion(totals: pd.Series, weights: dict[str, float] | None = None, budget: float = BUDGET) -> dict[str, float]:
-    """Inclusion probability of each source, by filling sources to min(1, level * weight / tokens)."""
-    totals = totals.astype(float)
-    w = pd.Series(weights, dtype=float).reindex(totals.index).fillna(0.0) if weights else totals.clip(lower=0) ** POWER
-    goal, out, open_ = budget * totals.sum(), pd.Series(0.0, totals.index), (w > 0) & (totals > 0)
-    while open_.any() and goal > 1e-9:
-        p = goal * w[open_] / w[open_].sum() / totals[open_]
-        full = p.index[p >= 1]
-        if not len(full):
-            out[p.index] = p
+def inclusion(sources: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """``sources`` (mix_source, t, n, w) with p, its inclusion probability: min(1, level * w / t), with the level that spends the budget.
+
+    The level rises while it fills further sources; each round is one
+    aggregate, so nothing depends on the number of sources. A source without
+    tokens has the budget itself.
+    """
+    goal = budget * float(sources.agg(F.sum("t")).first()[0] or 0)
+    open_, level = sources.where("w > 0 and t > 0"), 0.0
+    while goal > 1e-9:
+        full = F.col("t") <= F.lit(level) * F.col("w")
+        spent, weight = open_.agg(F.sum(F.when(full, F.col("t"))), F.sum(F.when(~full, F.col("w")))).first()
+        if not weight:
+            level = float("inf") if spent else level
             break
-        out[full] = 1.0
-        goal -= totals[full].sum()
-        open_[full] = False
-    out[(totals <= 0)] = budget
-    return out.clip(0, 1).to_dict()
+        new = max(0.0, goal - float(spent or 0)) / float(weight)
+        if new <= level * (1 + 1e-12):
+            break
+        level = new
+    p = F.when(F.col("t") <= 0, budget).when(F.col("w") <= 0, 0.0).when(F.lit(level) * F.col("w") >= F.col("t"), 1.0).otherwise(F.lit(level) * F.col("w") / F.col("t"))
+    return sources.withColumn("p", F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
 def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -136,11 +145,17 @@ def _flight_of(land: bool, seed: int):
 def drawn(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """(doc_id, source, tokens, probability) of the drawn documents; the null source is null."""
     base = stored(token_table(docs), "tokens")
-    totals = base.groupBy("mix_source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).toPandas().set_index("mix_source")
-    share = inclusion(totals["t"], weights, budget)
+    sources = base.groupBy("mix_source").agg(F.sum("tokens").cast("double").alias("t"), F.count("*").alias("n"))
     spark = docs.sparkSession
-    plan = spark.createDataFrame([(s, float(share[s]), max(1, int(round(totals["n"][s] / BLOCK)))) for s in totals.index], "mix_source string, p double, blocks int")
-    units = base.join(F.broadcast(plan), "mix_source").withColumn("place", F.xxhash64("doc_id", F.lit(seed)))
+    if weights:
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "mix_source string, w double")
+        sources = sources.join(given, "mix_source", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    else:
+        sources = sources.withColumn("w", F.pow(F.greatest(F.col("t"), F.lit(0.0)), F.lit(POWER)))
+    plan = inclusion(stored(sources, "sources"), budget)
+    plan = plan.select("mix_source", "p", F.greatest(F.lit(1), F.round(F.col("n") / BLOCK).cast("int")).alias("blocks"))
+    plan = F.broadcast(plan) if plan.count() <= FEW_SOURCES else plan.hint("merge")
+    units = base.join(plan, "mix_source").withColumn("place", F.xxhash64("doc_id", F.lit(seed)))
     units = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks").cast("long"))).drop("blocks")
     schema = "mix_source string, doc_id long, tokens long, p double, place long, block long, p0 double"
     units = units.withColumn("p0", F.col("p")).select("mix_source", "doc_id", "tokens", "p", "place", "block", "p0")

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 
 from quillgraph.llm import mixing as M
 from quillgraph.llm.common import table
@@ -27,15 +26,45 @@ def test_equal_sizes():
     assert ((q > 0) & (q < 1)).sum() <= 1 and abs(q.sum() - 30) < 1e-6
 
 
-def test_inclusion_fills_small_sources():
-    got = M.inclusion(pd.Series({"a": 1000, "b": 100, "c": 0}), {"a": 0.5, "b": 0.5}, 0.5)
+def filled(totals, weights=None, budget=M.BUDGET):
+    """Inclusion probabilities by filling one source after another."""
+    t = {k: float(v) for k, v in totals.items()}
+    w = {k: weights.get(k, 0.0) if weights else max(v, 0.0) ** M.POWER for k, v in t.items()}
+    out = {k: budget if t[k] <= 0 else 0.0 for k in t}
+    goal = budget * sum(t.values())
+    left = [k for k in t if t[k] > 0 and w[k] > 0]
+    while left and goal > 1e-9:
+        level = goal / sum(w[k] for k in left)
+        full = [k for k in left if level * w[k] >= t[k]]
+        for k in full or left:
+            out[k] = min(1.0, level * w[k] / t[k])
+        if not full:
+            break
+        goal -= sum(t[k] for k in full)
+        left = [k for k in left if k not in full]
+    return out
+
+
+def shares(spark, totals, weights, budget):
+    rows = [(k, float(v), 1, float(weights[k])) for k, v in totals.items()]
+    return {r.mix_source: r.p for r in M.inclusion(spark.createDataFrame(rows, "mix_source string, t double, n long, w double"), budget).collect()}
+
+
+def test_inclusion_fills_small_sources(spark):
+    got = shares(spark, {"a": 1000, "b": 100, "c": 0}, {"a": 0.5, "b": 0.5, "c": 0.5}, 0.5)
     assert got["b"] == 1.0 and abs(got["a"] - 0.45) < 1e-9 and got["c"] == 0.5
+    rng = np.random.default_rng(6)
+    for budget in (0.05, 0.6, 0.95, 1.0):
+        totals = {f"s{i}": int(x) for i, x in enumerate(rng.integers(0, 10000, 30))}
+        weights = {k: float(x) for k, x in zip(totals, rng.integers(0, 5, 30), strict=True)}
+        got, want = shares(spark, totals, weights, budget), filled(totals, weights, budget)
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_drawn_totals(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     base = M.token_table(docs).toPandas()
-    share = M.inclusion(base.groupby("mix_source")["tokens"].sum())
+    share = filled(base.groupby("mix_source")["tokens"].sum())
     got = M.drawn(docs).toPandas()
     assert got["doc_id"].is_unique
     for s, part in base.groupby("mix_source"):
@@ -50,7 +79,7 @@ def test_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 4)
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     base = M.token_table(docs).toPandas()
-    share = M.inclusion(base.groupby("mix_source")["tokens"].sum())
+    share = filled(base.groupby("mix_source")["tokens"].sum())
     got = M.drawn(docs).toPandas()
     for s, part in base.groupby("mix_source"):
         assert abs(len(got[got["source"] == s]) - share[s] * len(part)) <= 2.001
