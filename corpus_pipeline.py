@@ -1,4 +1,25 @@
-"""From documents to token files: the stages in order, each written as Parquet and read again."""
+"""From documents to token files: the stages in order, each written as Parquet and read again.
+
+All but the last return the columns of the documents, whatever they are called.
+Defined cases, stage by stage:
+
+- Quality classifier: each row is judged by its text; a null or empty text is
+  judged as one without words. Rows without an id, repeated rows and several
+  texts of an id are judged one by one.
+- SimHash near-dedup: of each group of near copies the smallest id stays, with
+  one row (of several, that with the smallest hash of all columns). Texts
+  without words have no copies, and rows without an id take no part: they stay.
+- Benchmark decontamination: all rows of an id go if one of them holds an item.
+  Rows without an id stay; null and empty texts hold nothing.
+- Mixing sources: rows without an id can't be drawn, so they end here. A null
+  source is a source of its own.
+- Token output: a row for each row left; a null or empty text is a document of
+  only the end id.
+
+Long texts are taken whole by every stage. An empty table gives an empty
+result, with a manifest without shards. Ties are broken by the smallest id, or
+by a hash of the row, never by the order of rows.
+"""
 
 from __future__ import annotations
 
