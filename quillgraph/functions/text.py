@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,14 +37,32 @@ def bucket(token: Column, dim: int) -> Column:
 
 
 def hashing_embedding(text: Column, dim: int = 256) -> Column:
-    """Unit vector of counts of hashed sub-tokens; zeros for a text without any."""
-    buckets = F.transform(subtokens(text), lambda t: bucket(t, dim))
-    counts = F.aggregate(
-        buckets, F.array_repeat(F.lit(0.0), dim),
-        lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x)),
-    )
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: (x / F.when(norm(counts) == 0, 1.0).otherwise(norm(counts))).cast("float"))
+    """Unit vector of counts of hashed sub-tokens; zeros for a text without any.
+
+    As ``bucket`` of ``subtokens``; but a histogram of fixed length has no JVM
+    expression of linear cost, so texts go to Python in Arrow batches, where
+    each different identifier is hashed once and the counting is one call.
+    """
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, list[int]] = {}
+
+        def buckets(word: str) -> list[int]:
+            if word not in known:
+                whole = word.lower()
+                parts = [whole, *(p for p in map(str.lower, re.findall(PART, word)) if p != whole)]
+                known[word] = [int(hashlib.md5(p.encode()).hexdigest(), 16) % dim for p in parts]
+            return known[word]
+
+        rows = [[b for w in re.findall(IDENTIFIER, t or "") for b in buckets(w)] for t in texts]
+        size = np.array([len(r) for r in rows], np.int64)
+        flat = np.fromiter((b for r in rows for b in r), np.int64, int(size.sum()))
+        counts = np.bincount(np.repeat(np.arange(len(rows)), size) * dim + flat, minlength=len(rows) * dim).reshape(-1, dim).astype(float)
+        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return pd.Series(list((counts / np.where(norm == 0, 1.0, norm)).astype(np.float32)))
+
+    return embed(text)
 
 
 def token_cost(text: Column) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import cut, sized, small
 from .relational import induced_by_id, strongest
 
 CEILING_NODES = 2_000
@@ -41,13 +41,16 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
     """
     step = adjacency(edges, relations, direction)
     front = cut(nodes.join(small(seeds.select("id").distinct()), "id", "left_semi").select("id", F.lit(0).alias("depth")))
-    met = front
+    met, size = front, front.count()
+    total = size
     for depth in range(1, max_depth + 1):
-        if front.isEmpty():
+        if not size:
             break
-        reached = step.join(small(front.select(F.col("id").alias("at"))), "at").select(F.col("to").alias("id")).distinct()
-        front = cut(reached.join(met, "id", "left_anti").select("id", F.lit(depth).alias("depth")))
-        met = met.unionAll(front)
+        # sizes are those of written rows, so a side is broadcast only where it is known to be small
+        near = step.join(sized(front.select(F.col("id").alias("at")), size), "at").select(F.col("to").alias("id"))
+        front = cut(near.join(sized(met.select("id"), total), "id", "left_anti").distinct().select("id", F.lit(depth).alias("depth")))
+        met, size = met.unionAll(front), front.count()
+        total += size
     return met
 
 
@@ -72,16 +75,17 @@ def pagerank(ids: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int
     links = cut(edges.join(total, "src").select("src", "dst", (F.col("confidence") / F.col("total")).alias("share")))
     sources = links.select(F.col("src").alias("id")).distinct()
     now = cut(ids.select("id").distinct().join(sources.withColumn("linked", F.lit(True)), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("linked", F.lit(False)).alias("linked")))
+    loose = F.sum(F.when(~F.col("linked"), F.col("rank")))
+    dangling, total = now.agg(loose, F.sum("rank")).first()
     for _ in range(rounds):
-        dangling = now.where("not linked").agg(F.sum("rank")).first()[0] or 0.0
-        rest = (1 - alpha) / n + alpha * dangling / n
+        rest = (1 - alpha) / n + alpha * (dangling or 0.0) / n
         sent = links.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = cut(now.join(sent, "id", "left").select("id", (F.lit(rest) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), "linked", F.col("rank").alias("before")))
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+        # one small aggregate of written rows for all that the next round needs
+        change, dangling, total = new.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), loose, F.sum("rank")).first()
         now = new.drop("before")
         if tolerance is not None and change < n * tolerance:
             break
-    total = now.agg(F.sum("rank")).first()[0]
     return now.select("id", (F.col("rank") / total).alias("rank"))
 
 

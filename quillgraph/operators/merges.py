@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small
@@ -72,6 +72,13 @@ def delete_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, embedding
     return left, kept, vec, wait
 
 
+def ordinal_uids(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``rows`` with ``uid``: the key, and for all but its first row by ``order`` its number after a #."""
+    k = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    name = F.when(F.col("_k") == 0, F.col(key)).otherwise(F.concat(key, F.lit("#"), F.col("_k").cast("string")))
+    return rows.withColumn("_k", k).withColumn("uid", name).drop("_k")
+
+
 def upsert_pending(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Pending edges after the batch (with seq): last file, highest confidence, last known target and source."""
     rows = stored.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch.withColumn("seq", F.col("seq").cast("long")))

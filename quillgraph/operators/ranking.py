@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graphs, relational, vectors
@@ -55,6 +55,25 @@ def recency(now: float, half_life_days: float = 30.0):
     return F.when(F.col("mtime").isNull(), 0.5).otherwise(F.exp(-age / F.lit(float(half_life_days))))
 
 
+def within_budget(df: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
+    """``df`` with ``run``, the costs of a key summed up in order, as far as they stay within ``budget``.
+
+    Sums are taken in two steps, so a key that holds a great share of the rows
+    isn't summed by one task: over ranges of the order, then inside them.
+    """
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism * 4)
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // parts))
+    piece = F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).alias("_piece")
+    df = df.select("*", piece)
+    sums = df.groupBy(key, "_piece").agg(F.sum(cost).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(key).orderBy("_piece")) - F.col("_sum")
+    sums = sums.select(F.col(key).alias("_key"), F.col("_piece").alias("_p"), before.alias("_before")).where(F.col("_before") <= budget)
+    rows = df.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_p")))
+    run = F.col("_before") + F.sum(cost).over(Window.partitionBy(key, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("run", run).where(F.col("run") <= budget).drop("_key", "_p", "_piece", "_before")
+
+
 def hybrid(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, candidates: DataFrame, query: list[float], depth: int = 2, weights: Weights | None = None, now: float | None = None, half_life_days: float = 30.0, prefer: str = "pagerank") -> DataFrame:
     """(id, score, vector, centrality, confidence, recency): best first, ties by id; signals are weighted parts of the score.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +49,13 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, node: DataFrame) -> DataFra
 
 
 def induced_by_id(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with both ends in ``ids`` (id)."""
+    """Edges with both ends in ``ids`` (id), in no order."""
     ids = small(ids.select("id").distinct())
-    inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return inside.orderBy(F.desc("confidence"), "src", "dst", "relation")
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
 def induced(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """``induced_by_id`` with uids for ids."""
+    """``induced_by_id`` with uids for ids, strongest first."""
     inside = induced_by_id(edges, ids)
     label = by_ids(nodes, ids).select("id", "uid")
     got = inside.join(label.select(F.col("id").alias("src"), F.col("uid").alias("src_uid")), "src").join(label.select(F.col("id").alias("dst"), F.col("uid").alias("dst_uid")), "dst")
@@ -87,6 +88,12 @@ def relation_names(nodes: DataFrame, edges: DataFrame, cap: int = 25) -> DataFra
     return pairs.withColumn("k", rank).where(F.col("k") <= cap).groupBy("id", "relation").agg(F.array_sort(F.collect_list("far_name")).alias("names"))
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(what, n): the rows of each table."""
+    each = [df.agg(F.lit(what).alias("what"), F.count("*").alias("n")) for what, df in tables.items()]
+    return reduce(DataFrame.unionAll, each)
+
+
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key, the first by ``order``."""
     w = Window.partitionBy(key).orderBy(order)

@@ -1,6 +1,6 @@
 """Vectors: normalising, exact cosine and top-k.
 
-Scores are dot products of float32 vectors summed in float64. Inside a batch
+Scores are dot products of float32 vectors summed in float64, to 9 decimals. Inside a batch
 they are one matrix product; each partition keeps only its own top k before
 the rows meet, so the shuffle is k rows for each partition and query.
 """
@@ -22,7 +22,8 @@ BLOCK = 1024
 def normalized(v: Column) -> Column:
     """Unit vector in float64, stored as float32; a zero vector stays."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: (x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
+    # the norm is bound as an element, since an expression inside the inner function would be computed for each element
+    return F.transform(F.array(F.when(norm == 0, 1.0).otherwise(norm)), lambda n: F.transform(v, lambda x: (x.cast("double") / n).cast("float")))[0]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,7 +57,8 @@ def top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, ty
             for batch in batches:
                 if not len(batch):
                     continue
-                s = _matrix(batch.column(1), dim) @ m.T
+                # the last bits of a sum depend on a row's place in its batch; 9 decimals don't, so equal vectors tie
+                s = np.round(_matrix(batch.column(1), dim) @ m.T, 9)
                 rows = pd.DataFrame({"query_id": np.repeat(ids, len(batch)), tie: np.tile(np.asarray(batch.column(0)), len(ids)), "score": s.T.ravel()})
                 best = rows if best is None else pd.concat([best, rows])
                 best = best.sort_values(["query_id", "score", tie], ascending=[True, False, True]).groupby("query_id").head(k)

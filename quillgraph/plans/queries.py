@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import filters, graphs, merges, metrics, ranking, relational, vectors
 from ..sources import graph as G
+from . import retrieval
 
 SYMBOL = "nation:3"
 SEEDS = ("nation:3", "part:7", "customer:11")
@@ -57,12 +58,11 @@ def locate_grouped(spark, sf):
     return relational.grouped_references(refs).select("target_uid", "n", F.concat_ws(",", "references").alias("refs"))
 
 
-@query("locate_grounding", "tokens AS (SELECT * FROM (VALUES (0, 'unknown_symbol'), (1, 'order:5'), (2, 'part:7')) AS t(pos, token)) SELECT token, min(pos)::BIGINT AS pos, count(*) AS matches FROM tokens JOIN nodes ON token = uid OR token = name GROUP BY token ORDER BY 2 LIMIT 1")
+@query("locate_grounding", "tokens AS (SELECT * FROM (VALUES (0, 'unknown_symbol'), (1, 'order:5'), (2, 'part:7'), (3, 'places')) AS t(pos, token)) SELECT arg_min(token, pos) AS symbol FROM tokens WHERE token IN (SELECT uid FROM nodes UNION SELECT name FROM nodes)")
 def locate_grounding(spark, sf):
-    g = G.from_tables(spark, sf)
-    tokens = spark.createDataFrame([(0, "unknown_symbol"), (1, "order:5"), (2, "part:7")], "pos long, token string")
-    named = g.nodes.select("id", F.explode(F.array_distinct(F.array("uid", "name"))).alias("token"))
-    return named.join(F.broadcast(tokens), "token").groupBy("token").agg(F.min("pos").alias("pos"), F.count("*").alias("matches")).orderBy("pos").limit(1)
+    """Which word of a question names a node: the one of the best shape and length that does."""
+    found = retrieval.Planner(G.from_tables(spark, sf), lambda q: []).grounded("who places part:7 in order:5 with unknown_symbol")
+    return spark.createDataFrame([(found,)], "symbol string")
 
 
 @query("neighborhood", f"""me AS (SELECT id FROM nodes WHERE uid = '{SYMBOL}')
@@ -121,22 +121,21 @@ _filter("filter_truncated", {"type": "part"}, "SELECT uid, name FROM nodes WHERE
 
 
 # --- vectors --------------------------------------------------------------------------
-def _queries(spark, sf, n=5):
-    rows = _read(spark, sf, "embeddings").where(F.col("vec_id") < n).orderBy("vec_id").collect()
-    return [(r.vec_id, [float(x) for x in r.embedding]) for r in rows]
+def _asked(spark, sf):
+    """The query vector, one row."""
+    return [float(x) for x in _read(spark, sf, "embeddings").where("vec_id = 0").first().embedding]
 
 
 def _top_sql(extra=""):
     return f"""SELECT query_id, node_id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS node_id,
 list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank
-FROM embeddings q, embeddings v WHERE q.vec_id < 5{extra}) WHERE rank <= 10"""
+FROM embeddings q, embeddings v WHERE true{extra}) WHERE rank <= 10"""
 
 
 def _topk(name, types, extra=""):
     @query(name, _top_sql(extra), graph=False)
     def run(spark, sf):
-        g = G.from_tables(spark, sf)
-        got = vectors.top_k(g.embeddings, _queries(spark, sf), 10, types, tie="node_id")
+        got = vectors.top_k_all(G.from_tables(spark, sf).embeddings, 10, types)
         return got.select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -144,22 +143,11 @@ _topk("vector_topk", None)
 _topk("vector_topk_types", ["1", "3"], " AND v.label IN (1, 3)")
 
 
-def _topk_all(name, types, extra=""):
-    @query(name, _top_sql(extra).replace("q.vec_id < 5", "true"), graph=False)
-    def run(spark, sf):
-        got = vectors.top_k_all(G.from_tables(spark, sf).embeddings, 10, types)
-        return got.select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
-
-
-_topk_all("vector_topk_all", None)
-_topk_all("vector_topk_types_all", ["1", "3"], " AND v.label IN (1, 3)")
-
-
 @query("cosine_clamped", "SELECT vec_id AS id, round(greatest(0, least(1, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)))), 6) AS cosine FROM embeddings", graph=False)
 def cosine_clamped(spark, sf):
     g = G.from_tables(spark, sf)
     ids = g.embeddings.select(F.col("node_id").alias("id"))
-    return vectors.cosines(g.embeddings, ids, _queries(spark, sf, 1)[0][1]).select("id", F.round("cosine", 6).alias("cosine"))
+    return vectors.cosines(g.embeddings, ids, _asked(spark, sf)).select("id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("l2_normalize", "SELECT vec_id, round(x / n, 5) + 0.0 AS first, round(sqrt(list_dot_product(v, v)) / n, 5) AS norm FROM (SELECT vec_id, v, v[1] AS x, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE * (vec_id + 2)) AS v FROM embeddings))", graph=False)
@@ -227,10 +215,22 @@ def pagerank_fixed_rounds(spark, sf):
     return graphs.pagerank(g.nodes, g.edges, rounds=4, tolerance=None).join(g.nodes.select("id", "uid"), "id").select("uid", F.round("rank", 9).alias("rank"))
 
 
-@query("pagerank_converged")
+def _converged_sql(rounds: int, tolerance: float) -> str:
+    """As ``_pagerank_sql``; a round after the change was small enough keeps the ranks."""
+    out = """pos AS (SELECT src, dst, max(confidence) AS c FROM edges GROUP BY ALL HAVING max(confidence) > 0), tot AS (SELECT src, sum(c) AS t FROM pos GROUP BY src),
+link AS MATERIALIZED (SELECT p.src, p.dst, c / t AS share FROM pos p JOIN tot USING (src)), num AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM nodes),
+r0 AS MATERIALIZED (SELECT id, 1 / n AS r, id IN (SELECT src FROM tot) AS linked, false AS done FROM nodes, num)"""
+    for k in range(rounds):
+        out += f""", d{k} AS (SELECT coalesce(sum(r) FILTER (NOT linked), 0) AS d FROM r{k}), g{k} AS (SELECT dst AS id, sum(r * share) AS got FROM link JOIN r{k} ON id = src GROUP BY dst),
+n{k} AS MATERIALIZED (SELECT id, linked, done, r, CASE WHEN done THEN r ELSE 0.15 / n + 0.85 * d / n + 0.85 * coalesce(got, 0) END AS s FROM r{k} LEFT JOIN g{k} USING (id), num, d{k}),
+r{k + 1} AS MATERIALIZED (SELECT id, s AS r, linked, (SELECT sum(abs(r - s)) < any_value(n) * {tolerance} FROM n{k}, num) AS done FROM n{k})"""
+    return out + f" SELECT uid, round(r / (SELECT sum(r) FROM r{rounds}), 9) AS rank FROM r{rounds} JOIN nodes USING (id)"
+
+
+@query("pagerank_converged", _converged_sql(45, 1e-6))
 def pagerank_converged(spark, sf):
     g = G.from_tables(spark, sf)
-    return graphs.pagerank(g.nodes, g.edges).join(g.nodes.select("id", "uid"), "id").select("uid", F.round("rank", 6).alias("rank"))
+    return graphs.pagerank(g.nodes, g.edges).join(g.nodes.select("id", "uid"), "id").select("uid", F.round("rank", 9).alias("rank"))
 
 
 def _kernel(g):
@@ -239,14 +239,29 @@ def _kernel(g):
     return suppliers, g.edges
 
 
-@query("betweenness")
+# walks of the shortest length are the shortest paths
+_PATHS = (
+    _walk("both", 2, ["PART_OF", "LOCATED_IN"], ("region:1", "region:2"))
+    + """, kern AS MATERIALIZED (SELECT id, uid FROM met JOIN nodes USING (id) WHERE type IN ('region', 'nation', 'supplier')),
+step1 AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE src <> dst AND src IN (SELECT id FROM kern) AND dst IN (SELECT id FROM kern)),
+w1 AS (SELECT a, b, 1::DOUBLE AS n FROM step1), """
+    + ", ".join(f"w{k} AS (SELECT w.a, s.b, sum(w.n) AS n FROM w{k - 1} w JOIN step1 s ON s.a = w.b GROUP BY ALL)" for k in range(2, 6))
+    + ", walks AS ("
+    + " UNION ALL ".join(f"SELECT a, b, {k} AS d, n FROM w{k}" for k in range(1, 6))
+    + """), short AS MATERIALIZED (SELECT a, b, min(d) AS d, arg_min(n, d) AS n FROM walks WHERE a <> b GROUP BY a, b), total AS (SELECT count(*)::DOUBLE AS n FROM kern)"""
+)
+
+
+@query("betweenness", _PATHS + """, through AS (SELECT x.b AS id, sum(x.n * y.n / z.n) AS v FROM short x JOIN short y ON y.a = x.b JOIN short z ON z.a = x.a AND z.b = y.b WHERE x.d + y.d = z.d GROUP BY x.b)
+SELECT uid, round(coalesce(v, 0) / ((total.n - 1) * (total.n - 2)), 9) AS value FROM kern LEFT JOIN through USING (id), total""")
 def betweenness(spark, sf):
     g = G.from_tables(spark, sf)
     ids, edges = _kernel(g)
     return graphs.centrality(ids, relational.induced_by_id(edges, ids), "betweenness").join(ids.select("id", "uid"), "id").select("uid", F.round("value", 9).alias("value"))
 
 
-@query("closeness")
+@query("closeness", _PATHS + """, near AS (SELECT b AS id, count(*)::DOUBLE AS r, sum(d) AS far FROM short GROUP BY b)
+SELECT uid, round(coalesce(r / far * r / (total.n - 1), 0), 9) AS value FROM kern LEFT JOIN near USING (id), total""")
 def closeness(spark, sf):
     g = G.from_tables(spark, sf)
     ids, edges = _kernel(g)
@@ -285,19 +300,19 @@ def recency_decay(spark, sf):
     return ranking.mtimes(g.nodes).withColumn("r", ranking.recency(now)).join(g.nodes.select("id", "uid"), "id").select("uid", F.round("r", 9).alias("recency"))
 
 
-@query("hybrid_rank", f"""cand AS (SELECT id FROM nodes WHERE type IN ('nation', 'region')), vec AS (SELECT {G.KINDS['nation'] * G.STEP} + vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 25),
+@query("hybrid_rank", f"""cand AS (SELECT id FROM nodes), vec AS (SELECT {G.KINDS['order'] * G.STEP} + vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
 q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), cos AS (SELECT id, greatest(0, least(1, list_dot_product(vec.e, q.e))) AS c FROM vec, q),
-{_MEAN}, {_REC}, sub AS (SELECT id FROM cand), {_degree_sql(" WHERE src IN (SELECT id FROM cand) AND dst IN (SELECT id FROM cand)")},
+{_MEAN}, {_REC}, {_degree_sql()},
 deg AS (SELECT id, coalesce(k, 0) / ((SELECT count(*) FROM cand) - 1.0) AS d FROM cand LEFT JOIN k USING (id)),
 parts AS (SELECT uid, 0.45 * coalesce(c, 0) AS v, 0.25 * (d - (SELECT min(d) FROM deg)) / (SELECT max(d) - min(d) FROM deg) AS cen, 0.15 * coalesce(m.confidence, 0) AS con, 0.15 * coalesce(r, 0.5) AS rec
 FROM cand JOIN nodes USING (id) LEFT JOIN cos USING (id) LEFT JOIN deg USING (id) LEFT JOIN mean m USING (id) LEFT JOIN rec USING (id))
-SELECT uid, round(v + cen + con + rec, 6) AS score, round(v, 6) AS vector, round(cen, 6) AS centrality, round(con, 6) AS confidence, round(rec, 6) AS recency FROM parts""")
+SELECT uid, round(v + cen + con + rec, 10) AS score, round(v, 10) AS vector, round(cen, 10) AS centrality, round(con, 10) AS confidence, round(rec, 10) AS recency FROM parts""")
 def hybrid_rank(spark, sf):
+    """All nodes, with all vectors moved onto orders; centrality is the degree, which SQL can express."""
     g = G.from_tables(spark, sf)
-    vec = g.embeddings.where("node_id < 25").withColumn("node_id", F.col("node_id") + F.lit(G.KINDS["nation"] * G.STEP))
-    ids = g.nodes.where("type in ('nation', 'region')").select("id")
-    got = ranking.hybrid(g.nodes, g.edges, vec, ids, _queries(spark, sf, 1)[0][1], 0, prefer="degree")
-    return got.join(g.nodes.select("id", "uid"), "id").select("uid", *(F.round(c, 6).alias(c) for c in ("score", *ranking.SIGNALS)))
+    vec = g.embeddings.withColumn("node_id", F.col("node_id") + F.lit(G.KINDS["order"] * G.STEP))
+    got = ranking.hybrid(g.nodes, g.edges, vec, g.nodes.select("id"), _asked(spark, sf), 0, prefer="degree")
+    return got.join(g.nodes.select("id", "uid"), "id").select("uid", *(F.round(c, 10).alias(c) for c in ("score", *ranking.SIGNALS)))
 
 
 @query("hybrid_rank_all")
@@ -305,7 +320,7 @@ def hybrid_rank_all(spark, sf):
     """All nodes, with all vectors moved onto orders, at the operator's depth and PageRank."""
     g = G.from_tables(spark, sf)
     vec = g.embeddings.withColumn("node_id", F.col("node_id") + F.lit(G.KINDS["order"] * G.STEP))
-    got = ranking.hybrid(g.nodes, g.edges, vec, g.nodes.select("id"), _queries(spark, sf, 1)[0][1])
+    got = ranking.hybrid(g.nodes, g.edges, vec, g.nodes.select("id"), _asked(spark, sf))
     return got.join(g.nodes.select("id", "uid"), "id").select("uid", *(F.round(c, 6).alias(c) for c in ("score", *ranking.SIGNALS)))
 
 
@@ -348,14 +363,14 @@ def node_upsert_merge(spark, sf):
     return merges.upsert_nodes(stored, batch)
 
 
-def _pending(spark, sf, orders="o_orderkey % 50 = 0"):
+def _pending(spark, sf):
     p, o = _read(spark, sf, "part"), _read(spark, sf, "orders")
     named = p.select(F.concat(F.lit("x:"), (F.col("p_partkey") % 97).cast("string")).alias("src_uid"), F.concat(F.lit("f"), (F.col("p_partkey") % 7).cast("string")).alias("src_file"), F.col("p_name").alias("dst_name"), F.lit("CALLS").alias("relation"), (F.col("p_size") / 100.0).alias("confidence"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("part:"), F.col("p_partkey").cast("string"))).alias("dst_uid"), F.when(F.col("p_size") % 2 == 0, F.lit("ast")).alias("source"), F.col("p_partkey").alias("seq"))
-    return named.unionAll(o.where(orders).select(F.lit("x:1"), F.lit("f9"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")), F.lit("CALLS"), F.lit(0.3), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("o_orderkey")))
+    return named.unionAll(o.select(F.lit("x:1"), F.lit("f9"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")), F.lit("CALLS"), F.lit(0.3), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("o_orderkey")))
 
 
 _PEND = """pend AS (SELECT 'x:' || p_partkey % 97 AS src_uid, 'f' || p_partkey % 7 AS src_file, p_name AS dst_name, 'CALLS' AS relation, p_size / 100.0 AS confidence, CASE WHEN p_partkey % 3 = 0 THEN 'part:' || p_partkey END AS dst_uid, CASE WHEN p_size % 2 = 0 THEN 'ast' END AS source, p_partkey AS seq FROM part
-UNION ALL SELECT 'x:1', 'f9', 'Order#' || o_orderkey, 'CALLS', 0.3, NULL, NULL, o_orderkey FROM orders WHERE o_orderkey % 50 = 0),
+UNION ALL SELECT 'x:1', 'f9', 'Order#' || o_orderkey, 'CALLS', 0.3, NULL, NULL, o_orderkey FROM orders),
 merged AS (SELECT src_uid, arg_max(src_file, seq) AS src_file, dst_name, relation, max(confidence)::DOUBLE AS confidence, arg_max(dst_uid, seq) FILTER (dst_uid IS NOT NULL) AS dst_uid, arg_max(source, seq) FILTER (source IS NOT NULL) AS source FROM pend GROUP BY src_uid, dst_name, relation)"""
 
 
@@ -371,21 +386,6 @@ def pending_resolve(spark, sf):
     return merges.resolve_pending(merges.upsert_pending(spark.createDataFrame([], G.PENDING), _pending(spark, sf)), g.nodes).select("src_uid", "dst_name", "confidence", "to_uid")
 
 
-_PEND_ALL = _PEND.replace(" WHERE o_orderkey % 50 = 0", "")
-
-
-@query("pending_upsert_all", _PEND_ALL + " SELECT * FROM merged")
-def pending_upsert_all(spark, sf):
-    return merges.upsert_pending(spark.createDataFrame([], G.PENDING), _pending(spark, sf, "true"))
-
-
-@query("pending_resolve_all", _PEND_ALL + """, names AS (SELECT name, min(uid) AS by_name FROM nodes WHERE type <> 'file' GROUP BY name HAVING count(*) = 1)
-SELECT src_uid, dst_name, confidence, CASE WHEN m.dst_uid IS NOT NULL THEN u.uid ELSE by_name END AS to_uid FROM merged m LEFT JOIN names ON name = dst_name LEFT JOIN (SELECT uid FROM nodes) u ON u.uid = m.dst_uid""")
-def pending_resolve_all(spark, sf):
-    g = G.from_tables(spark, sf)
-    return merges.resolve_pending(merges.upsert_pending(spark.createDataFrame([], G.PENDING), _pending(spark, sf, "true")), g.nodes).select("src_uid", "dst_name", "confidence", "to_uid")
-
-
 _GONE = "gone AS (SELECT id FROM nodes WHERE uid IN ('shard/01.tbl', 'shard/02.tbl') OR file_uid IN ('shard/01.tbl', 'shard/02.tbl'))"
 
 
@@ -408,8 +408,7 @@ def dirty_neighbors(spark, sf):
 @query("status_counts", "SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'files', count(*) FROM nodes WHERE type = 'file'")
 def status_counts(spark, sf):
     g = G.from_tables(spark, sf)
-    count = lambda what, df: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
-    return count("nodes", g.nodes).unionAll(count("edges", g.edges)).unionAll(count("embeddings", g.embeddings)).unionAll(count("files", g.nodes.where("type = 'file'")))
+    return relational.table_counts({"nodes": g.nodes, "edges": g.edges, "embeddings": g.embeddings, "files": g.nodes.where("type = 'file'")})
 
 
 # --- text, packing, metrics -----------------------------------------------------------
@@ -423,16 +422,13 @@ def token_cost(spark, sf):
 
 @query("pack_prefix", _COST + " SELECT doc_id, cost, run::BIGINT AS run FROM (SELECT doc_id, cost, sum(cost) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM cost) WHERE run <= 5000", graph=False)
 def pack_prefix(spark, sf):
-    d = _read(spark, sf, "documents").withColumn("cost", T.token_cost(F.col("text")))
-    run = F.sum("cost").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("run", run).where("run <= 5000").select("doc_id", "cost", "run")
+    d = _read(spark, sf, "documents").select("doc_id", "source", T.token_cost(F.col("text")).alias("cost"))
+    return ranking.within_budget(d, "source", "doc_id", "cost", 5000).select("doc_id", "cost", "run")
 
 
 @query("doc_ordinals", "SELECT doc_id, CASE WHEN k = 0 THEN source ELSE source || '#' || k END AS uid FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)", graph=False)
 def doc_ordinals(spark, sf):
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    d = _read(spark, sf, "documents").select("doc_id", "source", k.alias("k"))
-    return d.select("doc_id", F.when(F.col("k") == 0, F.col("source")).otherwise(F.concat("source", F.lit("#"), F.col("k").cast("string"))).alias("uid"))
+    return merges.ordinal_uids(_read(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "uid")
 
 
 @query("keep_first", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 1", graph=False)
@@ -448,15 +444,24 @@ def neighborhood_names(spark, sf):
     return relational.relation_names(g.nodes, g.edges).join(g.nodes.select("id", "uid"), "id").select("uid", "relation", F.concat_ws("; ", "names").alias("names"))
 
 
-@query("hashing_embed")
+# DuckDB's patterns look at nothing ahead, so a capital that starts a part is set apart first
+_TOKENS = r"""words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS w FROM documents),
+part AS (SELECT doc_id, w, unnest(regexp_extract_all(regexp_replace(w, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z][a-z][a-z0-9]*|[A-Z]+|[a-z0-9]+')) AS p FROM words),
+token AS (SELECT doc_id, lower(w) AS t FROM words UNION ALL SELECT doc_id, lower(p) FROM part WHERE lower(p) <> lower(w))"""
+
+
+@query("hashing_embed", _TOKENS + """, many AS (SELECT doc_id, ('0x' || right(md5(t), 2))::BIGINT AS bucket, count(*)::DOUBLE AS c FROM token GROUP BY ALL),
+size AS (SELECT doc_id, sqrt(sum(c * c)) AS s FROM many GROUP BY doc_id) SELECT doc_id, bucket, (c / s)::FLOAT::DOUBLE AS value FROM many JOIN size USING (doc_id)""", graph=False)
 def hashing_embed(spark, sf):
-    return _read(spark, sf, "benchmark").select("item_id", T.hashing_embedding(F.col("text"), 64).alias("vector"))
+    """What isn't zero of the vectors of all documents, at the engine's dimension."""
+    v = _read(spark, sf, "documents").select("doc_id", T.hashing_embedding(F.col("text"), 256).alias("v"))
+    return v.select("doc_id", F.posexplode("v").alias("bucket", "x")).where("x <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("x").cast("double").alias("value"))
 
 
-@query("subtoken_counts", r"""words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS w FROM documents) SELECT doc_id, count(*) AS identifiers, count(DISTINCT lower(w)) AS kinds FROM words GROUP BY doc_id""", graph=False)
+@query("subtoken_counts", _TOKENS + " SELECT doc_id, count(*) AS tokens, count(DISTINCT t) AS kinds FROM token GROUP BY doc_id", graph=False)
 def subtoken_counts(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.IDENTIFIER), F.lit(0))).alias("w"))
-    return d.groupBy("doc_id").agg(F.count("*").alias("identifiers"), F.countDistinct(F.lower("w")).alias("kinds"))
+    d = _read(spark, sf, "documents").select("doc_id", T.subtokens(F.col("text")).alias("t")).where("size(t) > 0")
+    return d.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("kinds"))
 
 
 @query("json_extract_props", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events", graph=False)
@@ -469,22 +474,24 @@ def intent_route(spark, sf):
     return _read(spark, sf, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
 
 
-def _cases(spark, sf, orders="o_custkey % 5 = 0", customers="c_custkey % 5 = 0"):
+def _cases(spark, sf):
     """A case for each customer: returned are its orders by price, expected its open ones with their priority as gain."""
-    o = _read(spark, sf, "orders").where(orders)
+    o = _read(spark, sf, "orders")
     uid = (F.col("o_orderkey") % 1000).cast("string").alias("uid")
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     returned = o.select(F.col("o_custkey").alias("case_id"), uid, pos.alias("pos"))
     expected = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("case_id"), uid, F.substring("o_orderpriority", 1, 1).cast("double").alias("gain"))
-    return _read(spark, sf, "customer").where(customers).select(F.col("c_custkey").alias("case_id")), returned, expected
+    return _read(spark, sf, "customer").select(F.col("c_custkey").alias("case_id")), returned, expected
 
 
-_CASES = """cases AS (SELECT c_custkey AS case_id FROM customer WHERE c_custkey % 5 = 0), o AS (SELECT * FROM orders WHERE o_custkey % 5 = 0),
+_CASES = """cases AS (SELECT c_custkey AS case_id FROM customer), o AS (SELECT * FROM orders),
 returned AS (SELECT o_custkey AS case_id, (o_orderkey % 1000)::VARCHAR AS uid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM o),
 expected AS (SELECT o_custkey AS case_id, (o_orderkey % 1000)::VARCHAR AS uid, max(substr(o_orderpriority, 1, 1)::DOUBLE) AS gain FROM o WHERE o_orderstatus = 'O' GROUP BY ALL)"""
 
 
-@query("metrics_precision_recall", _CASES + """, r AS (SELECT DISTINCT case_id, uid FROM returned), s AS (SELECT case_id, (SELECT count(*) FROM r WHERE r.case_id = c.case_id) AS n, (SELECT count(*) FROM expected e WHERE e.case_id = c.case_id) AS m, (SELECT count(*) FROM r JOIN expected e USING (case_id, uid) WHERE r.case_id = c.case_id) AS hit FROM cases c),
+@query("metrics_precision_recall", _CASES + """, r AS (SELECT DISTINCT case_id, uid FROM returned),
+n AS (SELECT case_id, count(*) AS n FROM r GROUP BY case_id), m AS (SELECT case_id, count(*) AS m FROM expected GROUP BY case_id), h AS (SELECT case_id, count(*) AS hit FROM r JOIN expected USING (case_id, uid) GROUP BY case_id),
+s AS (SELECT case_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, coalesce(hit, 0) AS hit FROM cases LEFT JOIN n USING (case_id) LEFT JOIN m USING (case_id) LEFT JOIN h USING (case_id)),
 pr AS (SELECT case_id, CASE WHEN n = 0 THEN 0 ELSE hit / n END AS p, CASE WHEN m = 0 THEN 1 ELSE hit / m END AS r FROM s)
 SELECT case_id, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM pr""", graph=False)
 def metrics_precision_recall(spark, sf):
@@ -502,29 +509,6 @@ def metrics_rank(spark, sf):
     return got.select("case_id", *(F.round(c, 9).alias(c) for c in ("recall_at_k", "mrr", "ndcg")))
 
 
-_CASES_ALL = _CASES.replace(" WHERE c_custkey % 5 = 0", "").replace(" WHERE o_custkey % 5 = 0", "")
-
-
-@query("metrics_precision_recall_all", _CASES_ALL + """, r AS (SELECT DISTINCT case_id, uid FROM returned),
-n AS (SELECT case_id, count(*) AS n FROM r GROUP BY case_id), m AS (SELECT case_id, count(*) AS m FROM expected GROUP BY case_id), h AS (SELECT case_id, count(*) AS hit FROM r JOIN expected USING (case_id, uid) GROUP BY case_id),
-s AS (SELECT case_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, coalesce(hit, 0) AS hit FROM cases LEFT JOIN n USING (case_id) LEFT JOIN m USING (case_id) LEFT JOIN h USING (case_id)),
-pr AS (SELECT case_id, CASE WHEN n = 0 THEN 0 ELSE hit / n END AS p, CASE WHEN m = 0 THEN 1 ELSE hit / m END AS r FROM s)
-SELECT case_id, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM pr""", graph=False)
-def metrics_precision_recall_all(spark, sf):
-    got = metrics.set_metrics(*_cases(spark, sf, "true", "true"))
-    return got.select("case_id", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
-
-
-@query("metrics_rank_all", _CASES_ALL + """, d AS (SELECT case_id, uid, min(pos) AS pos FROM returned GROUP BY ALL), rk AS (SELECT case_id, uid, row_number() OVER (PARTITION BY case_id ORDER BY pos, uid) AS rank FROM d),
-h AS (SELECT case_id, count(*) FILTER (rank <= 10) AS hit, 1.0 / min(rank) AS mrr, sum(gain / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM rk JOIN expected USING (case_id, uid) GROUP BY case_id),
-ideal AS (SELECT case_id, count(*) AS m, sum(gain / log2(place + 1)) FILTER (place <= 10) AS best FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gain DESC, uid) AS place FROM expected) GROUP BY case_id)
-SELECT case_id, round(CASE WHEN coalesce(m, 0) = 0 THEN 1 ELSE coalesce(hit, 0) / m END, 9) AS recall_at_k, round(coalesce(mrr, 0), 9)::DOUBLE AS mrr, round(CASE WHEN coalesce(best, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / best END, 9) AS ndcg
-FROM cases LEFT JOIN h USING (case_id) LEFT JOIN ideal USING (case_id)""", graph=False)
-def metrics_rank_all(spark, sf):
-    got = metrics.rank_metrics(*_cases(spark, sf, "true", "true"))
-    return got.select("case_id", *(F.round(c, 9).alias(c) for c in ("recall_at_k", "mrr", "ndcg")))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -28,22 +28,28 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     return spark
 
 
-def cut(df):
-    """Checkpoint ``df`` reliably: lineage ends, and the rows survive lost executors.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a local session
-    without one gets a temporary folder.
-    """
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    import re
     import tempfile
 
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = sc.getConf().get("spark.checkpoint.dir")
-        if not at:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            at = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        sc.setCheckpointDir(at)
+    name = "spark.checkpoint.dir"
+    at = spark.sparkContext.getConf().get(name) or spark.conf.get(name, None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"{name} must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+        spark.conf.set(name, at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at.rstrip("/") or "/")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", whole)
+
+
+def cut(df):
+    """Checkpoint ``df`` reliably: lineage ends, and the rows survive lost executors."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
@@ -58,6 +64,13 @@ def small(df, rows: int = BROADCAST_ROWS):
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sized(df, rows: int, most: int = BROADCAST_ROWS):
+    """``df``, whose number of rows is known, with a broadcast hint if that is small."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if rows <= most else df
+
+
 _SHIPPED: set[str] = set()
 
 

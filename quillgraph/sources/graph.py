@@ -6,11 +6,14 @@ assigns them and they never change; other uids get a 64-bit hash.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 NODES = (
     "id bigint, uid string, type string, name string, body string, attrs string, source string, valid_from string, "
     "valid_to string, confidence double, embed_dirty boolean"
@@ -31,6 +34,7 @@ class Graph:
     edges: DataFrame
     embeddings: DataFrame | None = None
     pending: DataFrame | None = None
+    by_dst: DataFrame | None = None  # the same edges, stored in the order of dst
 
 
 def node_id(uid: F.Column | str):
@@ -38,7 +42,33 @@ def node_id(uid: F.Column | str):
     return F.xxhash64(F.col(uid) if isinstance(uid, str) else uid)
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
+    """``of_tables``, built once in an application and stored in the folder that all share.
+
+    Edges are stored in the order of ``src`` and again in that of ``dst``, in
+    ranges, so a filter on an end reads few row groups.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _BUILT:
+        g = of_tables(spark, sf_dir)
+        at = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        g.nodes.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{at}/nodes")
+        g.edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").write.parquet(f"{at}/edges")
+        spark.read.parquet(f"{at}/edges").repartitionByRange("dst", "src").sortWithinPartitions("dst", "src").write.parquet(f"{at}/edges_by_dst")
+        _BUILT[key] = at
+    at = _BUILT[key]
+    return Graph(spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges"), embeddings(spark, sf_dir), by_dst=spark.read.parquet(f"{at}/edges_by_dst"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("node_id"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("type"))
+
+
+def of_tables(spark: SparkSession, sf_dir: str) -> Graph:
     """Nodes of six tables and of files that hold orders; edges along foreign keys and of lineitem."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
 
@@ -83,8 +113,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
         .unionAll(edges_of(of("l_orderkey"), ("order", "l_orderkey"), ("part", "l_partkey"), "CONTAINS", F.col("w"), F.col("c")))
         .unionAll(edges_of(of("l_suppkey"), ("supplier", "l_suppkey"), ("part", "l_partkey"), "SUPPLIES", F.col("w"), F.col("c")))
     )
-    vectors = read("embeddings").select(F.col("vec_id").alias("node_id"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("type"))
-    return Graph(nodes, edges, vectors)
+    return Graph(nodes, edges, embeddings(spark, sf_dir))
 
 
 def sql() -> str:

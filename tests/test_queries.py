@@ -59,13 +59,13 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "c_acctbal" not in plan and "l_tax" not in plan and "CartesianProduct" not in plan
 
 
-@pytest.mark.parametrize("name", ["metrics_precision_recall_all", "metrics_rank_all"])
+@pytest.mark.parametrize("name", ["metrics_precision_recall", "metrics_rank"])
 def test_metrics_have_a_case_for_every_customer(spark, sf, name):
     customers = {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
     assert {r.case_id for r in Q.queries()[name](spark, sf).select("case_id").collect()} == customers
 
 
-@pytest.mark.parametrize("name", ["pending_upsert_all", "pending_resolve_all"])
+@pytest.mark.parametrize("name", ["pending_upsert", "pending_resolve"])
 def test_every_order_is_pending(spark, sf, name):
     orders = {f"Order#{r.o_orderkey}" for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
     assert {r.dst_name for r in Q.queries()[name](spark, sf).select("dst_name").collect()} >= orders

@@ -236,7 +236,7 @@ def test_all_embeddings_are_queries(spark, sf):
     from quillgraph.plans import queries as Q
 
     ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
-    for name in ("vector_topk_all", "vector_topk_types_all"):
+    for name in ("vector_topk", "vector_topk_types"):
         got = Q.queries()[name](spark, sf).select("query_id").collect()
         assert {r.query_id for r in got} == ids and len(got) == 10 * len(ids)
 
@@ -288,3 +288,28 @@ def test_hybrid_over_whole_tables_against_brute_force(spark, sf):
     got = {r.uid: tuple(r)[1:] for r in Q.queries()["hybrid_rank_all"](spark, sf).collect()}
     assert set(got) == set(want) and sum(x[1] > 0 for x in got.values()) > 100
     assert all(np.allclose(got[u], want[u], rtol=0, atol=2e-6) for u in want)
+
+
+def test_vector_code_takes_linear_time(spark):
+    import time
+
+    text = "aRatherLongName with_parts and words " * 200
+    took = []
+    for dim in (64, 1024):
+        v = spark.createDataFrame([(text,)] * 300, "t string").select(T.hashing_embedding(F.col("t"), dim).alias("v"))
+        u = spark.range(2000).select(F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda x: x.cast("double") + F.col("id")).alias("v")).select(vectors.normalized(F.col("v")).alias("u"))
+        began = time.perf_counter()
+        assert v.select(F.sum(vectors.dot(F.col("v"), F.col("v")))).first()[0] == pytest.approx(300, rel=1e-5)
+        assert u.select(F.sum(vectors.dot(F.col("u"), F.col("u")))).first()[0] == pytest.approx(2000, rel=1e-5)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 2
+
+
+def test_subtokens_in_the_engine_and_in_python_agree(spark):
+    texts = ["HTTPServer2 parseJSON_fast A1b AB12 x_Y__z 007 éÀb", "", None, "aB cD aB", "__init__ ABCdEF"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(F.transform(T.subtokens(F.col("t")), lambda t: T.bucket(t, 64)).alias("b"), T.hashing_embedding(F.col("t"), 64).alias("v")).collect()
+    for r in rows:
+        want = [float(r.b.count(k)) for k in range(64)]
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert r.v == pytest.approx([x / norm for x in want], abs=1e-6)
