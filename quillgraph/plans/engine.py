@@ -12,19 +12,26 @@ from ..operators import ranking, relational
 from ..sources import files as files_
 from ..sources.query_cache import QueryCache
 from ..sources.store import VERSION, Store
-from . import ingest, packing
-from .retrieval import ModelRouter, Planner
+from . import extract, ingest, packing
+from .retrieval import Planner
 
 log = logging.getLogger(__name__)
 
 
 class Engine:
-    """Index files, refresh vectors, and answer. Use as a context manager, or close it."""
+    """Index files, refresh vectors, and answer. Use as a context manager, or close it.
 
-    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] | None = None, model: str = "hashing", dim: int = 256, router: ModelRouter | None = None, weights: ranking.Weights | None = None, cache: QueryCache | None = None, now: float | None = None):
+    Parts that can be replaced: ``embed`` (column to column; ``ingest.batched``
+    makes one of a function of lists), ``extractor`` (files to rows, as
+    ``extract.extracted``), ``serialize`` (nodes and edges to texts), ``router``
+    and ``rank`` (see ``Planner``), and the ``cache`` of query vectors.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] | None = None, model: str = "hashing", dim: int = 256, router=None, weights: ranking.Weights | None = None, cache: QueryCache | None = None, now: float | None = None, extractor: Callable[[DataFrame], DataFrame] = extract.extracted, serialize: Callable[[DataFrame, DataFrame], DataFrame] = ingest.texts, rank: Callable[..., DataFrame] = ranking.hybrid):
         self.spark, self.store = spark, Store(spark, path)
         self.embed, self.model, self.dim = embed or ingest.hashing(dim), model, dim
         self.router, self.weights, self.now = router, weights, now
+        self.extractor, self.serialize, self.rank = extractor, serialize, rank
         self.cache = cache if cache is not None else QueryCache(model, dim)
         self._graph = None
         self._closed = False
@@ -57,7 +64,7 @@ class Engine:
     def index(self, root: str | DataFrame, embed: bool = True, force: bool = False) -> ingest.Report:
         """Take in a folder, or a DataFrame of files."""
         source = root if isinstance(root, DataFrame) else files_.read(self.spark, root)
-        graph, report = ingest.index(self.graph, source, force)
+        graph, report = ingest.index(self.graph, source, force, self.extractor)
         if report.files_indexed or report.files_deleted:
             self._save(graph)
         if embed:
@@ -65,11 +72,26 @@ class Engine:
         return report
 
     def refresh_embeddings(self, full: bool = False) -> int:
-        graph, n = ingest.refresh(self.graph, self.embed, self.model, full)
+        graph, n = ingest.refresh(self.graph, self.embed, self.model, full, self.serialize)
         if n:
             self._save(graph, embedder=[self.model, self.dim])
         return n
 
+    def rebuild_vector_index(self) -> int:
+        """0: the scan reads the stored vectors, so there is no derived index that could drift from them."""
+        return 0
+
+    def clear_query_cache(self) -> None:
+        self.cache.clear()
+
+    def dump_query_cache(self, path: str) -> int:
+        """Write the cached query vectors to a file; how many."""
+        return self.cache.dump(path)
+
+    def load_query_cache(self, path: str) -> int:
+        """Add the query vectors of a file; how many. A file of another model or dimension adds none."""
+        return self.cache.load(path)
+
     def query_vector(self, query: str) -> list[float]:
         got = self.cache.get(query)
         if got is None:
@@ -79,7 +101,7 @@ class Engine:
 
     @property
     def planner(self) -> Planner:
-        return Planner(self.graph, self.query_vector, self.router, self.weights, self.now)
+        return Planner(self.graph, self.query_vector, self.router, self.weights, self.now, self.rank)
 
     def ask(self, query: str, k: int = 5, depth: int = 2, as_context: bool = False, budget_tokens: int = 2000):
         got = self.planner.retrieve(query, k, depth)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..sources import graph as G
 from . import extract
 
 CALLER = "python-ast"
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -105,10 +108,40 @@ def hashing(dim: int = 256) -> Callable[[Column], Column]:
     return lambda c: T.hashing_embedding(c, dim)
 
 
-def refresh(graph: G.Graph, embed: Callable[[Column], Column], model: str | None = None, full: bool = False) -> tuple[G.Graph, int]:
-    """(graph with vectors for dirty, or all, nodes, how many)."""
+def batched(embed: Callable[[list[str]], list], dim: int, size: int = 128) -> Callable[[Column], Column]:
+    """A column function of an embedder of lists of texts, which gets ``size`` of them at once.
+
+    A batch that raises, or gives too few vectors or some of another length, is
+    tried once more; if that fails too its texts get null, so their nodes stay dirty.
+    """
+
+    def attempt(texts: list[str]) -> list:
+        for _ in range(2):
+            try:
+                got = [[float(x) for x in v] for v in embed(texts)]
+            except Exception as e:  # noqa: BLE001 - one bad batch must not end the job
+                log.warning("embedder failed: %s", e)
+                continue
+            if len(got) == len(texts) and all(len(v) == dim for v in got):
+                return got
+        return [None] * len(texts)
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        whole = texts.fillna("").tolist()
+        return pd.Series([v for k in range(0, len(whole), size) for v in attempt(whole[k : k + size])], dtype=object)
+
+    return run
+
+
+def refresh(graph: G.Graph, embed: Callable[[Column], Column], model: str | None = None, full: bool = False, serialize: Callable[[DataFrame, DataFrame], DataFrame] = texts) -> tuple[G.Graph, int]:
+    """(graph with vectors for dirty, or all, nodes, how many); nodes whose text gets null stay as they were.
+
+    ``serialize(nodes, edges)`` gives (id, text).
+    """
     todo = graph.nodes if full else graph.nodes.where("embed_dirty")
-    made = texts(graph.nodes, graph.edges).join(todo.select("id"), "id", "left_semi")
-    batch = cut(made.select(F.col("id").alias("node_id"), embed(F.col("text")).alias("vector"), F.lit(model).cast("string").alias("model")))
+    made = serialize(graph.nodes, graph.edges).join(todo.select("id"), "id", "left_semi")
+    # filtered after the rows are written, so that no text is embedded twice
+    batch = cut(made.select(F.col("id").alias("node_id"), embed(F.col("text")).alias("vector"), F.lit(model).cast("string").alias("model"))).where("vector is not null")
     vectors, nodes = merges.set_embeddings(graph.embeddings, batch, graph.nodes)
     return G.Graph(nodes, graph.edges, vectors, graph.pending), batch.count()

@@ -55,7 +55,8 @@ def first_object(text: str) -> dict | None:
 class ModelRouter:
     """Routes by a language model behind ``complete(system, user)``; any failure falls back to ``classify``.
 
-    Confidence under 0.5, or a symbol that no node has, gives EXPLAIN. Verdicts are cached, oldest out first.
+    Confidence under 0.5, or a symbol that no node has, gives EXPLAIN. Verdicts are cached, oldest out first; whether
+    the symbol exists is looked up each time, as it may have been indexed since.
     """
 
     SYSTEM = 'Reply with JSON: {"intent": "LOCATE" | "EXPLAIN" | "FILTER", "symbol": text or null, "filters": {"type", "lang", "path_glob", "since"}, "confidence": 0..1}'
@@ -70,7 +71,9 @@ class ModelRouter:
             while self.size and len(self.cache) >= self.size:
                 self.cache.pop(next(iter(self.cache)))
             self.cache[query] = verdict
-        return copy.deepcopy(self.cache[query])
+        found = self.cache[query]
+        missing = found.intent == "LOCATE" and found.symbol and self.exists and not self.exists(found.symbol)
+        return Intent("EXPLAIN", confidence=found.confidence) if missing else copy.deepcopy(found)
 
     def _ask(self, query: str) -> Intent:
         fallback = Intent(classify(query))
@@ -84,8 +87,7 @@ class ModelRouter:
             return fallback
         if name not in ("LOCATE", "EXPLAIN", "FILTER") or not 0 <= sure <= 1:
             return fallback
-        missing = name == "LOCATE" and found.symbol and self.exists and not self.exists(found.symbol)
-        return Intent("EXPLAIN", confidence=sure) if sure < 0.5 or missing else found
+        return Intent("EXPLAIN", confidence=sure) if sure < 0.5 else found
 
 
 def candidates(query: str) -> list[str]:
@@ -101,18 +103,30 @@ def candidates(query: str) -> list[str]:
 
 
 class Planner:
-    def __init__(self, graph: Graph, embed: Callable[[str], list[float]], router: ModelRouter | None = None, weights: ranking.Weights | None = None, now: float | None = None):
-        self.graph, self.embed, self.router, self.weights, self.now = graph, embed, router, weights, now
+    """Routes and answers. ``router`` has ``analyze(query) -> Intent``, or only ``classify(query) -> str``; ``rank`` has the signature of ``ranking.hybrid``."""
+
+    def __init__(self, graph: Graph, embed: Callable[[str], list[float]], router=None, weights: ranking.Weights | None = None, now: float | None = None, rank: Callable[..., DataFrame] = ranking.hybrid):
+        self.graph, self.embed, self.router, self.weights, self.now, self.rank = graph, embed, router, weights, now, rank
+
+    def verdict(self, query: str) -> Intent:
+        """The router's verdict; a symbol that this graph doesn't have turns LOCATE into EXPLAIN, whatever graph the router knows."""
+        if self.router is None:
+            return Intent(classify(query))
+        if not hasattr(self.router, "analyze"):
+            return Intent(str(self.router.classify(query)).upper())
+        found = self.router.analyze(query)
+        unknown = found.intent == "LOCATE" and found.symbol and not relational.symbol_exists(self.graph.nodes, found.symbol)
+        return Intent("EXPLAIN", confidence=found.confidence) if unknown else found
 
     def retrieve(self, query: str, k: int = 5, depth: int = 2) -> dict:
-        verdict = self.router.analyze(query) if self.router else Intent(classify(query))
+        verdict = self.verdict(query)
         if verdict.intent == "LOCATE":
             return self.locate(query, verdict.symbol)
         return self.filter(verdict.filters, k) if verdict.intent == "FILTER" else self.explain(query, k, depth)
 
-    def grounded(self, query: str) -> str | None:
-        """The first candidate that names a node: one join for all candidates."""
-        tokens = candidates(query)
+    def grounded(self, query: str, symbol: str | None = None) -> str | None:
+        """``symbol``, or else the first candidate of the query, that names a node: one join for all candidates."""
+        tokens = [*([symbol] if symbol else []), *candidates(query)]
         if not tokens:
             return None
         t = self.graph.nodes.sparkSession.createDataFrame(list(enumerate(tokens)), "pos int, token string")
@@ -121,7 +135,7 @@ class Planner:
         return hit[0]
 
     def locate(self, query: str, symbol: str | None = None) -> dict:
-        symbol = symbol or self.grounded(query)
+        symbol = self.grounded(query, symbol)
         refs = [] if symbol is None else [r.asDict() for r in relational.references_to(self.graph.nodes, self.graph.edges, symbol).collect()]
         targets = [] if symbol is None else [r.uid for r in self.graph.nodes.where((F.col("name") == symbol) | (F.col("uid") == symbol)).select("uid").orderBy("uid").collect()]
         by_target: dict[str, list] = {}
@@ -130,12 +144,18 @@ class Planner:
         return {"intent": "LOCATE", "symbol": symbol, "references": refs, "matched_uids": targets, "by_target": by_target, "ambiguous": len(targets) > 1}
 
     def filter(self, wanted: dict, k: int = 5) -> dict:
-        got, dropped = filters.filtered(self.graph.nodes, wanted, k)
-        out = {"intent": "FILTER", "filters": wanted, "dropped_filters": dropped, "nodes": [], "edges": [], "truncated": False}
-        if got is None:
+        """Nodes that meet the usable filters, at most ``k`` if that is positive. It never raises: a query that fails gives no nodes and a note."""
+        out = {"intent": "FILTER", "filters": dict(wanted), "dropped_keys": [], "matched_ids": [], "nodes": [], "edges": [], "truncated": False}
+        try:
+            got, out["dropped_keys"] = filters.filtered(self.graph.nodes, wanted, k)
+            rows = None if got is None else [node_dict(r) for r in got.collect()]
+        except Exception as e:  # noqa: BLE001 - filters come from a model and may be anything
+            log.warning("filter failed: %s", e)
+            return out | {"note": "the filter failed"}
+        if rows is None:
             return out | {"note": "no usable filter"}
-        rows = [node_dict(r) for r in got.collect()]
-        return out | {"nodes": rows[:k] if k > 0 else rows, "truncated": 0 < k < len(rows)}
+        shown = rows[:k] if k > 0 else rows
+        return out | {"nodes": shown, "matched_ids": [n["id"] for n in shown], "truncated": len(shown) < len(rows)}
 
     def explain(self, query: str, k: int = 5, depth: int = 2) -> dict:
         g, vec = self.graph, self.embed(query)
@@ -149,7 +169,7 @@ class Planner:
         edges = [r.asDict() for r in relational.induced(g.nodes, g.edges, met).collect()]
         out = {"intent": "EXPLAIN", "seeds": ids, "depths": depths, "nodes": nodes, "edges": edges}
         try:
-            scored = ranking.hybrid(g.nodes, g.edges, g.embeddings, met, vec, depth, self.weights, self.now).collect()
+            scored = self.rank(g.nodes, g.edges, g.embeddings, met, vec, depth, self.weights, self.now).collect()
             out |= {"ranking": [r.id for r in scored], "scores": {r.id: r.asDict() for r in scored}}
         except Exception as e:  # noqa: BLE001 - without a ranking the result still stands
             log.warning("ranking failed: %s", e)

@@ -9,15 +9,18 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph as G
 
 VERSION = 1
 TABLES = {"nodes": G.NODES, "edges": G.EDGES, "embeddings": G.EMBEDDINGS, "pending": G.PENDING}
+#: Upgrades by the version they start from: all tables as they were written, to all tables of the next version.
+STEPS: dict[int, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]] = {}
 
 
 class Store:
@@ -27,6 +30,7 @@ class Store:
         self.files.create_dir(self.at, recursive=True)
         if self.state()["version"] > VERSION:
             raise RuntimeError(f"store has version {self.state()['version']}, newer than {VERSION}")
+        self.migrate()
 
     def state(self) -> dict:
         """Pointer content; an empty store before the first snapshot."""
@@ -42,6 +46,22 @@ class Store:
             f.write(json.dumps(state).encode())
         self.files.move(part, f"{self.at}/CURRENT")
 
+    def migrate(self) -> int:
+        """Take an older store up to VERSION; the version it has then.
+
+        Each step writes a snapshot and points to it with its version, so a step
+        that fails leaves the store whole at the version before.
+        """
+        while (state := self.state())["version"] < VERSION:
+            step = STEPS[state["version"]]
+            snap = None
+            if state["snapshot"]:
+                snap = f"snap-{uuid.uuid4().hex}"
+                for t, df in step({t: self.spark.read.parquet(f"{self.root}/{state['snapshot']}/{t}") for t in TABLES}).items():
+                    df.write.parquet(f"{self.root}/{snap}/{t}")
+            self._point({"version": state["version"] + 1, "snapshot": snap, "meta": state["meta"]})
+        return self.state()["version"]
+
     def load(self) -> G.Graph:
         snap = self.state()["snapshot"]
         read = lambda t: self.spark.read.schema(TABLES[t]).parquet(f"{self.root}/{snap}/{t}") if snap else self.spark.createDataFrame([], TABLES[t])

@@ -100,7 +100,37 @@ def test_epochs():
 def test_filter_plan_is_capped(planner):
     got = planner.filter({"lang": "python"}, 2)
     assert len(got["nodes"]) == 2 and got["truncated"]
-    assert planner.filter({"x": 1})["note"]
+    assert got["matched_ids"] == [n["id"] for n in got["nodes"]] and got["dropped_keys"] == []
+    lost = planner.filter({"x": 1})
+    assert lost["note"] and lost["dropped_keys"] == ["x"]
+
+
+def test_filter_never_raises(planner, monkeypatch):
+    def fails(*_):
+        raise ValueError("no such table")
+
+    monkeypatch.setattr(filters, "filtered", fails)
+    got = planner.filter({"lang": "python"})
+    assert got["nodes"] == [] and got["matched_ids"] == [] and got["note"]
+
+
+def test_unknown_symbols(graph):
+    class Fixed:
+        def __init__(self, symbol):
+            self.symbol = symbol
+
+        def analyze(self, query):
+            return retrieval.Intent("LOCATE", self.symbol)
+
+    class Plain:
+        def classify(self, query):
+            return "locate"
+
+    new = lambda router: retrieval.Planner(graph, lambda q: [0.0] * 64, router)
+    assert new(Fixed("gone")).verdict("x").intent == "EXPLAIN" and new(Fixed("odd")).verdict("x").symbol == "odd"
+    assert new(Plain()).verdict("x") == retrieval.Intent("LOCATE")
+    # a symbol that names nothing is followed by the query's own words
+    assert new(None).locate("who uses RedisQueue", "gone")["symbol"] == "RedisQueue"
 
 
 def test_candidates():
@@ -117,6 +147,11 @@ def test_model_router():
     got.filters["lang"] = "changed"
     assert r.analyze("e").filters == {"lang": "go"} and asked.count("e") == 1 and r.analyze("f").intent == "EXPLAIN"
     assert retrieval.ModelRouter(lambda s, u: 1 / 0).analyze("who uses it").intent == "LOCATE"
+    known: set[str] = set()
+    late = retrieval.ModelRouter(lambda s, u: '{"intent": "LOCATE", "symbol": "new"}', exists=known.__contains__)
+    assert late.analyze("q").intent == "EXPLAIN"
+    known.add("new")
+    assert late.analyze("q").symbol == "new"
 
 
 def test_safe_text():
