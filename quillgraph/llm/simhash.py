@@ -1,20 +1,19 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
 A fingerprint has two halves of 64 bits, each a SimHash of a text's distinct
-words, cut into 8 blocks of a byte. Two texts are near copies if their
-fingerprints are at most ``FAR`` bits apart and some half agrees in at least
-three of its blocks. Each half is keyed by all 56 choices of three blocks (24
-bits), so all such pairs meet on a key, and the Hamming distance of whole
-fingerprints decides: no near copy in this sense is lost. Of two fingerprints
-at most GUARANTEED bits apart one half differs in at most ``PER_HALF`` bits and
-has three equal blocks, so up to there the second condition always holds; from
-there to ``FAR`` bits it holds for nearly all (a test measures it). Keys that
-guarantee FAR bits would be 285 of 17 bits for each document: too many, and
-too narrow for a large corpus.
+words. Two texts are near copies if their fingerprints are at most ``FAR`` bits
+apart, and all such pairs are found: of FAR = 16 different bits the first half
+holds at most 8 or the second at most 7. A half that differs in at most t bits
+is cut into t + 3 blocks, of which three at least are equal: 165 choices of 3 of
+11 blocks and 120 of 3 of 10. Sent are only the keys of the first equal block,
+9 and 8 for each fingerprint; the choices of the other two are sorted within
+the task that holds a block's value. The Hamming distance of whole fingerprints
+decides.
 
 Equal fingerprints are collapsed before blocking, so thousands of exact copies
-cost one row; a crowded key is searched outward from one member at a time and
-yields a spanning forest, not all its pairs.
+cost one row; a crowded choice of blocks (``CROWD`` rows or more) is searched
+outward from its members and yields a spanning forest, not all its pairs; of
+the others each pair is sent once.
 
 Defined cases: texts without words (null, empty, only marks) are compared
 with nothing; rows without an id take no part; of several texts under one id
@@ -36,10 +35,29 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import arrow_map, components, id_text, lean, once_per_id, stored, text_of, without_ids
 
-PER_HALF = 5
-GUARANTEED = 2 * PER_HALF + 1
 FAR = 16
-MASKS = [sum(0xFF << (8 * b) for b in blocks) for blocks in combinations(range(8), 8 - PER_HALF)]
+#: All pairs up to so many bits apart are found.
+GUARANTEED = FAR
+EQUAL = 3
+#: Rows of one choice of blocks from which a spanning forest is made of them.
+CROWD = 64
+#: Members from which a crowd is searched at once.
+FRONT = 16
+#: Rows of whole keys that a task takes at once; a larger key is taken whole.
+CHUNK = 1 << 17
+
+
+def blocks(far: int) -> list[list[int]]:
+    """Masks of the blocks of each half: of ``far`` different bits one half holds so few that EQUAL of its blocks are equal."""
+    out = []
+    for most in (far // 2, far - 1 - far // 2):
+        ends = np.linspace(0, 64, most + EQUAL + 1).round().astype(int).tolist()
+        out.append([(1 << b) - (1 << a) for a, b in zip(ends[:-1], ends[1:], strict=True)] if most >= 0 else [])
+    return out
+
+
+#: Choices of equal blocks in a half that holds half of FAR bits; the second half's are fewer and wider.
+MASKS = [sum(chosen) for chosen in combinations(blocks(FAR)[0], EQUAL)]
 _SIGNS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64) * 2 - 1
 _LOW = W.U64((1 << 44) - 1)
 
@@ -82,64 +100,136 @@ def _forest(ids: np.ndarray, f0: np.ndarray, f1: np.ndarray, far: int) -> tuple[
     """Spanning forest of the members of one key that are at most ``far`` apart."""
     a, b = [], []
     left = np.arange(len(ids))
+    front = np.zeros(0, np.int64)
+    root = np.arange(len(ids))  # of trees, by the member that a tree began with
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return int(x)
+
+    def link(x: int, y: int) -> None:
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            a.append(ids[x : x + 1])
+            b.append(ids[y : y + 1])
+
     while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            x = front.pop()
-            near = hamming(f0[x], f1[x], f0[left], f1[left]) <= far
-            hit = left[near]
-            a.append(np.full(len(hit), ids[x]))
-            b.append(ids[hit])
-            front += hit.tolist()
-            left = left[~near]
+        now, front = front[-FRONT:], front[:-FRONT]
+        seeds, left = left[: FRONT - len(now)], left[FRONT - len(now) :]
+        now = np.concatenate((now, seeds))
+        near = hamming(f0[now][:, None], f1[now][:, None], f0[now], f1[now]) <= far
+        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            link(int(now[i]), int(now[j]))
+        near = hamming(f0[now][:, None], f1[now][:, None], f0[left], f1[left]) <= far
+        some = near.any(axis=0)
+        if not some.any():
+            continue
+        hit, near = left[some], near[:, some]
+        first = near.argmax(axis=0)
+        root[hit] = now[first]
+        a.append(ids[now[first]])
+        b.append(ids[hit])
+        near[first, np.arange(len(hit))] = False
+        other, at = np.nonzero(near)  # a member near several of the front joins their trees
+        _, one = np.unique(first[at] * FRONT + other, return_index=True)
+        for k in one.tolist():
+            link(int(now[other[k]]), int(hit[at[k]]))
+        front = np.concatenate((front, hit))
+        left = left[~some]
     return np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])
 
 
-def _edges_of_sorted(far: int):
-    """Iterator of batches sorted by key -> iterator of (a, b) edges."""
+def _edges_of_block(half: int, block: int, ids: np.ndarray, f: tuple[np.ndarray, np.ndarray], far: int, crowd: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges between rows whose first equal block of ``half`` is ``block``; the rows may hold several values of it."""
+    cuts = [np.array(masks, np.uint64) for masks in blocks(far)]
+    out = []
+
+    def first_of(x: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether EQUAL blocks are equal, the masks of the first ones together) of differences x."""
+        same = (x[:, None] & masks) == 0
+        rank = same.cumsum(axis=1)
+        return rank[:, -1] >= EQUAL, np.where(same & (rank <= EQUAL), masks, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+
+    for rest in combinations(cuts[half][block + 1 :], EQUAL - 1):
+        mask = cuts[half][block] | np.bitwise_or.reduce(rest)
+        key = f[half] & mask
+        order = np.argsort(key)
+        key = key[order]
+        again = np.concatenate(([False], key[1:] == key[:-1]))
+        if not again.any():
+            continue
+        start = np.flatnonzero(~again)
+        size = np.diff(np.append(start, len(key)))
+        for s, n in zip(start[size >= crowd].tolist(), size[size >= crowd].tolist(), strict=True):
+            rows = order[s : s + n]
+            out.append(_forest(ids[rows], f[0][rows], f[1][rows], far))
+        many = np.flatnonzero((size > 1) & (size < crowd))
+        left = size[many]
+        at = np.arange(left.sum()) - np.repeat(np.cumsum(left) - left - start[many], left)
+        left = np.repeat(start[many] + left, left) - at  # rows of the same key from here on
+        for ahead in range(1, crowd):
+            go = left > ahead
+            at, left = at[go], left[go]
+            if not len(at):
+                break
+            x, y = order[at], order[at + ahead]
+            near = hamming(f[0][x], f[1][x], f[0][y], f[1][y]) <= far
+            x, y = x[near], y[near]
+            # the pair counts at the first of all choices at which it meets
+            mine = first_of(f[half][x] ^ f[half][y], cuts[half])[1] == mask
+            if half:
+                mine &= ~first_of(f[0][x] ^ f[0][y], cuts[0])[0]
+            out.append((ids[x[mine]], ids[y[mine]]))
+    return out
+
+
+def _edges_of_sorted(far: int, crowd: int = CROWD):
+    """Iterator of batches sorted by key -> iterator of (a, b) edges; holds whole keys."""
 
     def solve(key, ids, f0, f1):
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(start, len(key)))
-        two = start[size == 2]
-        ok = hamming(f0[two], f1[two], f0[two + 1], f1[two + 1]) <= far
-        a, b = [ids[two[ok]]], [ids[two[ok] + 1]]
-        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = _forest(ids[s : s + n], f0[s : s + n], f1[s : s + n], far)
-            a.append(x)
-            b.append(y)
-        a, b = np.concatenate(a), np.concatenate(b)
+        kind = key >> 32
+        first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        found = [(ids[:0], ids[:0])]
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+            found += _edges_of_block(int(kind[s]) >> 8, int(kind[s]) & 255, ids[s:e], (f0[s:e], f1[s:e]), far, crowd)
+        a, b = (np.concatenate([x[i] for x in found]) for i in range(2))
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches):
-        held = None
+        held, rows, least = [], 0, CHUNK
         for batch in batches:
-            cols = [np.asarray(batch.column(i)) for i in range(4)]
-            cols[2:] = [c.view(np.uint64) for c in cols[2:]]  # bits of signed numbers would be counted without their sign
-            if held is not None:
-                cols = [np.concatenate(p) for p in zip(held, cols, strict=True)]
-            if not len(cols[0]):
+            held.append([np.array(batch.column(i)) for i in range(4)])
+            rows += len(batch)
+            if rows < least:
                 continue
+            cols = [np.concatenate(p) for p in zip(*held, strict=True)]
             cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last key may go on in the next batch
-            held = [c[cut:] for c in cols]
             if cut:
-                yield solve(*(c[:cut] for c in cols))
-        if held is not None and len(held[0]):
-            yield solve(*held)
+                yield solve(*(c[:cut] for c in cols[:2]), *(c[:cut].view(np.uint64) for c in cols[2:]))  # as bits, without a sign
+            held, rows = [[c[cut:].copy() for c in cols]], len(cols[0]) - cut
+            least = max(CHUNK, 2 * rows)
+        if rows:
+            cols = [np.concatenate(p) for p in zip(*held, strict=True)]
+            yield solve(*cols[:2], *(c.view(np.uint64) for c in cols[2:]))
 
     return run
 
 
-def near_pairs(prints: DataFrame, far: int = FAR) -> DataFrame:
-    """(a, b): a spanning forest, key by key, of distinct fingerprints at most ``far`` bits apart."""
-    masks = [m - 2**64 if m >= 2**63 else m for m in MASKS]
-    which = F.array(*(F.struct(F.lit(half).alias("half"), F.lit(m).cast("long").alias("mask")) for half in range(2) for m in masks))
-    half = F.when(F.col("w.half") == 0, F.col("f0")).otherwise(F.col("f1"))
-    keyed = prints.select("doc_id", "f0", "f1", F.explode(which).alias("w")).select(
-        F.xxhash64("w.half", "w.mask", half.bitwiseAND(F.col("w.mask"))).alias("key"), "doc_id", "f0", "f1"
-    )
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_edges_of_sorted(far)), "a long, b long").distinct()
+def near_pairs(prints: DataFrame, far: int = FAR, crowd: int = CROWD) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints at most ``far`` bits apart; of crowds a spanning forest."""
+    keys = []
+    for half, masks in enumerate(blocks(far)):
+        for block, mask in enumerate(masks[: len(masks) - EQUAL + 1]):
+            low = (mask & -mask).bit_length() - 1
+            value = F.shiftrightunsigned(f"f{half}", low).bitwiseAND(F.lit(mask >> low))
+            keys.append(value + F.lit((half << 8 | block) << 32))
+    keyed = prints.select(F.explode(F.array(*keys)).alias("key"), "doc_id", "f0", "f1")
+    # so many tasks as are set: their work isn't told by their bytes
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lean(_edges_of_sorted(far, crowd)), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, far: int = FAR) -> tuple[DataFrame, DataFrame]:

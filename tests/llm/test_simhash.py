@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quillgraph.llm import simhash
 from quillgraph.llm.common import components, table
@@ -28,10 +29,7 @@ def test_groups_against_brute_force(spark):
     got = simhash.groups(docs)[0].toPandas()
     group = dict(zip(got["doc_id"], got["group_id"], strict=True))
     assert all(group[a] == group[b] for a, b in near(simhash.GUARANTEED))
-    octets = np.stack((f0, f1), axis=1).view(np.uint8).reshape(-1, 2, 8)
-    blocks = (octets[:, None] == octets[None]).sum(axis=3).max(axis=2) >= 3
-    linked = [(ids[i], ids[j]) for i, j in zip(*np.where(np.triu((d <= simhash.FAR) & blocks, 1)), strict=True)]
-    want = {x: r for x, r in closure(linked).items()}
+    want = closure(near(simhash.FAR))
     assert group == want  # of all pairs that are near copies none is lost
     far = near(simhash.FAR)
     assert np.mean([group.get(a, a) == group.get(b, b) for a, b in far]) >= 0.9
@@ -47,6 +45,36 @@ def test_all_pairs_up_to_the_guarantee_share_a_key():
         assert any(x[h] & m == 0 for h in range(2) for m in simhash.MASKS)
 
 
+def test_each_choice_of_different_bits_leaves_equal_blocks():
+    rng = np.random.default_rng(2)
+    for far in (0, 1, 5, simhash.FAR):
+        masks = simhash.blocks(far)
+        assert all(sum(m) in (0, 2**64 - 1) for m in masks)
+        for _ in range(300):
+            flips = rng.choice(128, far, replace=False)
+            x = [sum(1 << int(b - 64 * h) for b in flips if b // 64 == h) for h in range(2)]
+            assert any(sum(x[h] & m == 0 for m in masks[h]) >= simhash.EQUAL for h in range(2))
+
+
+@pytest.mark.parametrize("crowd", [2, simhash.CROWD])
+def test_near_pairs_link_all_that_brute_force_links(spark, crowd):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (400, 2), dtype=np.uint64)
+    spread = np.uint64(sum(1 << (8 * b + 3) for b in range(8)))  # a bit of each byte: no two fingerprints share a byte
+    twins = base[:100] ^ spread
+    crowded = np.repeat(base[:1], 600, axis=0)
+    for row in crowded:
+        for bit in rng.choice(128, 12, replace=False).tolist():
+            row[bit // 64] ^= np.uint64(1 << bit % 64)
+    f = np.unique(np.concatenate((base, twins, crowded)), axis=0)
+    d = simhash.hamming(f[:, None, 0], f[:, None, 1], f[None, :, 0], f[None, :, 1])
+    want = [(int(i), int(j)) for i, j in zip(*np.where(np.triu(d <= simhash.FAR, 1)), strict=True)]
+    rows = [(i, *r) for i, r in enumerate(f.view(np.int64).tolist())]
+    got = [(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame(rows, "doc_id long, f0 long, f1 long"), crowd=crowd).collect()]
+    assert (np.diag(d[[p[0] for p in got]][:, [p[1] for p in got]]) <= simhash.FAR).all() and closure(got) == closure(want)
+    assert len(got) <= len(want) and (d == simhash.FAR).sum() >= 200
+
+
 def test_crowded_key_gives_a_forest_of_the_whole_group():
     rng = np.random.default_rng(1)
     f0 = np.zeros(500, np.uint64) | (rng.integers(0, 64, 500).astype(np.uint64))
