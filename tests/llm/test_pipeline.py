@@ -43,6 +43,16 @@ def test_each_stage_against_its_input(spark, steps):
     assert sorted(ids(steps[5])) == sorted(ids(steps[4]))
 
 
+def test_no_near_copies_are_left(spark, steps):
+    p = simhash.fingerprint_table(steps[2]).toPandas()
+    f0, f1 = p["f0"].to_numpy().view("u8"), p["f1"].to_numpy().view("u8")
+    d = simhash.hamming(f0[:, None], f1[:, None], f0[None], f1[None])
+    assert (d <= simhash.FAR).sum() == len(p) > 300  # each only with itself
+    # two documents that are near, without three equal bytes in a half of their fingerprints
+    two = steps[0].where("doc_id in (61, 777)")
+    assert ids(P.drop_near_copies(spark, two, SF)) == [61]
+
+
 def test_labels_and_planted_passages(spark, steps):
     labels = {r.doc_id: (r.quality, r.toxic) for r in table(spark, SF, "labels").collect()}
     kept, known = set(ids(steps[1])), set(labels)
