@@ -43,10 +43,12 @@ class Rules:
 
     def column(self, stat) -> Column:
         """Probability as a Column; ``stat(name)`` gives the Column of a statistic."""
-        z = F.lit(float(self.intercept))
+        terms = []
         for rule, weight in zip(self.rules, self.weights, strict=True):
             conds = [stat(docstats.NAMES[k]) <= thr if le else stat(docstats.NAMES[k]) > thr for k, le, thr in rule]
-            z = z + F.when(reduce(lambda a, b: a & b, conds), float(weight)).otherwise(0.0)
+            terms.append(F.when(reduce(lambda a, b: a & b, conds), float(weight)).otherwise(0.0))
+        # a chain of additions becomes one method of over 64 KB, on which the driver's compiler spends its heap in vain
+        z = F.aggregate(F.array(*terms), F.lit(float(self.intercept)), lambda a, b: a + b) if terms else F.lit(float(self.intercept))
         return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
 
 

@@ -42,6 +42,22 @@ def test_columns_equal_numpy(spark, big):
     assert kept.columns == small.columns and {r.doc_id for r in kept.collect()} == set(got[got["keep"]]["doc_id"])
 
 
+def test_many_rules_make_no_method_beyond_what_compiles(spark):
+    rng = np.random.default_rng(4)
+    rules = [tuple((int(k), bool(rng.random() < 0.5), float(rng.random())) for k in rng.choice(len(docstats.NAMES), 3, replace=False)) for _ in range(400)]
+    model = C.Classifier(C.Rules(0.1, rules, rng.normal(size=400)), C.Rules(-0.2, rules, rng.normal(size=400)), np.zeros(0, np.uint64))
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    for df in (C.score(docs, model), C.accepted(docs, model)):
+        found = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        sizes = [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
+        assert all(0 <= n < 2**16 for n in sizes)  # -1 where it doesn't compile
+    got = C.score(docs, model).toPandas().sort_values("doc_id")
+    rows = docs.orderBy("doc_id").collect()
+    x = docstats.statistics(pa.array([r.text for r in rows], pa.large_string()), model.lexicon)
+    assert np.allclose(got["good"], model.good.probability(x), atol=2e-6) and np.allclose(got["toxic"], model.toxic.probability(x), atol=2e-6)
+
+
 def test_monotone_signs():
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 1, (3000, 3))
