@@ -52,7 +52,7 @@ SIMILAR = 0.75
 SPAN_WORDS = 15
 #: Units of one block of a crowded band; a task holds two blocks.
 CROWD = 1000
-#: Hashes of units that a task remembers, to send a unit's bands once; beyond that it starts anew.
+#: Places for hashes of units that a task remembers, to send a unit's bands once; a later hash takes the place of an earlier one.
 MEMORY = 1 << 20
 
 _rng = np.random.default_rng(77)
@@ -157,17 +157,31 @@ def unit_table(docs: DataFrame) -> DataFrame:
     return id_text(docs).where("doc_id is not null").mapInArrow(lean(run), "doc_id long, word_at long, word_to long, char_at long, char_to long, hash long")
 
 
+class Seen:
+    """Hashes that a task has met lately, a place for each of MEMORY; a call costs as many steps as it brings hashes, however many were met."""
+
+    def __init__(self, size: int = MEMORY):
+        self.held = np.zeros(size, np.uint64)
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each of distinct ``hashes`` is new; one that another has displaced counts as new, and is sent again."""
+        at = (hashes % W.U64(len(self.held))).astype(np.int64)
+        new = self.held[at] != hashes
+        new |= hashes == 0
+        self.held[at] = hashes
+        return new
+
+
 def band_table(docs: DataFrame) -> DataFrame:
-    """(key, hash) of the bands of units that have a shingle; a unit that a task has met before isn't sent again."""
+    """(key, hash) of the bands of units that have a shingle; a unit that a task has met lately isn't sent again."""
 
     def run(batches):
-        seen = np.zeros(0, np.uint64)
+        seen = Seen()
         for batch in batches:
             for _, part in W.passes(text_of(batch)):
                 units = Units(part)
                 _, one = np.unique(units.hash, return_index=True)
-                one = one[~np.isin(units.hash[one], seen)]
-                seen = np.union1d(seen, units.hash[one]) if len(seen) < MEMORY else units.hash[one]
+                one = one[seen.add(units.hash[one])]
                 keys, of = units.bands(np.sort(one))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(units.hash[of].view(np.int64))], ["key", "hash"])
 

@@ -204,3 +204,15 @@ def test_odd_rows(spark, odd, none):
     assert P.removals(none).count() == 0
     twice = spark.createDataFrame([(None, "a b c d"), (1, None), (2, ""), (3, "..."), (4, "a b c d"), (4, "a b c d"), (5, "A, b; c\nd")], SCHEMA)
     assert {(r.doc_id, r.word_at, r.word_to, r.kept_doc_id) for r in P.removals(twice, least=1).collect()} == {(5, 0, 4, 4)}
+
+
+def test_what_a_task_has_met_is_held_in_a_bounded_table(spark):
+    seen = P.Seen(64)
+    some = np.arange(1, 41, dtype=np.uint64) * np.uint64(64) + np.arange(40, dtype=np.uint64)
+    assert seen.add(some).all() and not seen.add(some).any()
+    over = some + np.uint64(64)  # the same places
+    assert seen.add(over).all() and seen.add(some).all() and len(seen.held) == 64
+    assert seen.add(np.zeros(1, np.uint64)).all() and seen.add(np.zeros(1, np.uint64)).all()
+    docs = spark.createDataFrame([(i, "\n".join(f"line {k} of some words" for k in range(i % 7 + 1))) for i in range(50)], "doc_id long, text string").coalesce(1)
+    once = P.band_table(docs).collect()
+    assert len(once) == len(set(once))  # a unit of several documents is sent once
