@@ -17,10 +17,11 @@ the others each pair is sent once.
 
 Defined cases: texts without words (null, empty, only marks) are compared
 with nothing; rows without an id take no part; of several texts under one id
-the one with the smallest fingerprint counts; a tie of bits in a fingerprint
+the one with the smallest fingerprint counts, and in ``deduplicated`` the row
+that stays, that with the smallest hash; a tie of bits in a fingerprint
 counts as 0; texts are read whole, whatever their length; an empty table gives
-an empty result; other columns are carried along by ``deduplicated`` and never
-read, so their names can't clash.
+an empty result; other columns are carried along by ``deduplicated`` and only
+hashed, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, components, id_text, lean, once_per_id, stored, text_of, without_ids
+from .common import arrow_map, components, fresh, id_text, lean, once_per_id, row_hash, stored, text_of, without_ids
 
 FAR = 16
 #: All pairs up to so many bits apart are found.
@@ -78,18 +79,27 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.diff(w.doc_words) > 0
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1), one row for each id that has words."""
+def _by_id(docs: DataFrame, rank: str | None = None) -> DataFrame:
+    """(doc_id, f0, f1, words, rows), one row for each id: of several that with the smallest ``rank``, or the smallest fingerprint of words."""
 
     def run(batch):
         ids = batch.column(0)
         for at, part in W.passes(text_of(batch)):
             f, has = fingerprints(part)
             f = f.view(np.int64)
-            yield pa.table([ids.slice(at, len(part)), f[:, 0].copy(), f[:, 1].copy()], ["doc_id", "f0", "f1"]).filter(pa.array(has))
+            more = [batch.column(2).slice(at, len(part))] if rank else []
+            yield pa.table([ids.slice(at, len(part)), pa.array(~has), f[:, 0].copy(), f[:, 1].copy(), *more], names)
+
+    names = ["doc_id", "bare", "f0", "f1", *(["rank"] if rank else [])]
+    rows = id_text(docs, "doc_id", "text", *([rank] if rank else [])).where("doc_id is not null")
+    rows = arrow_map(rows, run, "doc_id long, bare boolean, f0 long, f1 long" + (", rank long" if rank else ""))
+    first = F.min(F.struct(*(["rank"] if rank else []), "bare", "f0", "f1")).alias("f")
+    return rows.groupBy("doc_id").agg(first, F.count("*").alias("rows")).select("doc_id", "f.f0", "f.f1", (~F.col("f.bare")).alias("words"), "rows")
 
-    rows = arrow_map(id_text(docs).where("doc_id is not null"), run, "doc_id long, f0 long, f1 long")
-    return rows.groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("f"), F.count("*").alias("rows")).select("doc_id", "f.f0", "f.f1", "rows")
+
+def fingerprint_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, f0, f1, rows), one row for each id that has words."""
+    return _by_id(docs).where("words").drop("words")
 
 
 def hamming(a0, a1, b0, b1) -> np.ndarray:
@@ -97,47 +107,46 @@ def hamming(a0, a1, b0, b1) -> np.ndarray:
 
 
 def _forest(ids: np.ndarray, f0: np.ndarray, f1: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the members of one key that are at most ``far`` apart."""
-    a, b = [], []
-    left = np.arange(len(ids))
-    front = np.zeros(0, np.int64)
-    root = np.arange(len(ids))  # of trees, by the member that a tree began with
+    """Spanning forest of the members of one key that are at most ``far`` apart.
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return int(x)
+    Trees grow side by side, so a front is held against all members that
+    weren't in a front before: those not met yet and those met by other trees.
+    """
+    a, b = [], []
+    left = np.arange(len(ids))  # not met yet
+    met = left[:0]  # and not in a front yet
+    tree = np.arange(len(ids))  # of each member, named by one of its members
 
     def link(x: int, y: int) -> None:
-        p, q = find(x), find(y)
+        p, q = tree[x], tree[y]
         if p != q:
-            root[max(p, q)] = min(p, q)
+            tree[tree == q] = p
             a.append(ids[x : x + 1])
             b.append(ids[y : y + 1])
 
-    while len(left):
-        now, front = front[-FRONT:], front[:-FRONT]
+    while len(left) or (tree[met[1:]] != tree[met[:-1]]).any():
+        now, met = met[-FRONT:], met[:-FRONT]
         seeds, left = left[: FRONT - len(now)], left[FRONT - len(now) :]
         now = np.concatenate((now, seeds))
         near = hamming(f0[now][:, None], f1[now][:, None], f0[now], f1[now]) <= far
         for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
             link(int(now[i]), int(now[j]))
-        near = hamming(f0[now][:, None], f1[now][:, None], f0[left], f1[left]) <= far
-        some = near.any(axis=0)
-        if not some.any():
-            continue
-        hit, near = left[some], near[:, some]
-        first = near.argmax(axis=0)
-        root[hit] = now[first]
-        a.append(ids[now[first]])
+        one = (tree[now] == tree[now[0]]).all()
+        rest = np.concatenate((met[tree[met] != tree[now[0]]] if one else met, left))
+        near = hamming(f0[now][:, None], f1[now][:, None], f0[rest], f1[rest]) <= far
+        new = near[:, len(rest) - len(left) :]
+        some = new.any(axis=0)
+        hit, first = left[some], now[new[:, some].argmax(axis=0)]
+        tree[hit] = tree[first]
+        a.append(ids[first])
         b.append(ids[hit])
-        near[first, np.arange(len(hit))] = False
-        other, at = np.nonzero(near)  # a member near several of the front joins their trees
-        _, one = np.unique(first[at] * FRONT + other, return_index=True)
-        for k in one.tolist():
-            link(int(now[other[k]]), int(hit[at[k]]))
-        front = np.concatenate((front, hit))
-        left = left[~some]
+        met, left = np.concatenate((met, hit)), left[~some]
+        i, j = np.nonzero(near)  # a member near to several trees joins them
+        p, q = tree[now[i]], tree[rest[j]]
+        across = np.flatnonzero(p != q)
+        _, at = np.unique(p[across] * len(ids) + q[across], return_index=True)
+        for k in across[at].tolist():
+            link(int(now[i[k]]), int(rest[j[k]]))
     return np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])
 
 
@@ -232,9 +241,13 @@ def near_pairs(prints: DataFrame, far: int = FAR, crowd: int = CROWD) -> DataFra
     return keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lean(_edges_of_sorted(far, crowd)), "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, far: int = FAR) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, group_id, keep) of all groups of two or more documents, ids that have several rows)."""
-    prints = stored(fingerprint_table(docs), "fingerprints")
+def groups(docs: DataFrame, far: int = FAR, rank: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, group_id, keep) of all groups of two or more documents, ids that have several rows).
+
+    ``rank`` names a column of which the smallest value picks one of several rows of an id.
+    """
+    every = stored(_by_id(docs, rank), "fingerprints")
+    prints = every.where("words").drop("words")
     # aggregates combine before the shuffle and join back, where a crowd of copies is split among tasks
     reps = stored(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "representatives")
     roots = components(near_pairs(reps.select(F.col("rep").alias("doc_id"), "f0", "f1"), far), "near-pairs")
@@ -243,11 +256,12 @@ def groups(docs: DataFrame, far: int = FAR) -> tuple[DataFrame, DataFrame]:
     # a root without copies of its own has other members, or it wouldn't be a root
     alone = reps.where("n = 1").join(roots.select(F.col("root").alias("rep")).distinct(), "rep").select("f0", "f1", F.col("rep").alias("group_id"))
     out = prints.join(stored(labelled.unionByName(alone), "groups"), ["f0", "f1"])
-    return out.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep")), prints.where("rows > 1").select("doc_id")
+    return out.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep")), every.where("rows > 1").select("doc_id")
 
 
 def deduplicated(docs: DataFrame, far: int = FAR) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id, and one row for each id."""
-    found, repeated = groups(docs, far)
+    rank = fresh(docs, "rank")
+    found, repeated = groups(docs.withColumn(rank, row_hash(docs)), far, rank)
     gone = stored(found.where("not keep").select("doc_id"), "near-duplicates")
     return once_per_id(without_ids(docs, gone), repeated)

@@ -82,12 +82,51 @@ def test_crowded_key_gives_a_forest_of_the_whole_group():
     assert len(a) == 499 and set(closure(zip(a.tolist(), b.tolist(), strict=True)).values()) == {0}
 
 
+def test_forest_joins_trees_that_meet_late():
+    # a path whose neighbours differ in 6 bits; its two halves grow from other members before the middle ones are met
+    path = [(1 << 6 * k) - 1 for k in range(18)]
+    path = [p for k, p in enumerate(path) if k not in (8, 9)] + path[8:10]
+    f = np.array([[p & (2**64 - 1), p >> 64] for p in path], np.uint64)
+    a, b = simhash._forest(np.arange(18), f[:, 0], f[:, 1], 6)
+    assert len(a) == 17 and set(closure(zip(a.tolist(), b.tolist(), strict=True)).values()) == {0}
+
+
+def test_clusters_that_meet_in_one_crowded_choice_only(spark):
+    rng = np.random.default_rng(4)
+    first, second = simhash.blocks(simhash.FAR)
+    bits = lambda masks, k: sum((m & -m) << k for m in masks)
+    # the two that join a pair of clusters differ in 8 blocks of each half, so 3 of the first and 2 of the second are equal
+    middle = np.array([bits(first[3:], 0), bits(second[:8], 0)], np.uint64)
+    to_a, to_b = (np.array([0, bits(second[:8], k)], np.uint64) for k in (1, 2))
+    noise = [np.array([0, bits([m], 3) | bits([n], 4)], np.uint64) for m in second for n in second][:45]
+    rows = []
+    for x in rng.integers(0, 2**64, (10, 2), dtype=np.uint64):
+        rows += [x, x ^ middle, *(x ^ to_a ^ n for n in noise), *(x ^ middle ^ to_b ^ n for n in noise)]
+    f = np.stack(rows)[rng.permutation(len(rows))]
+    d = simhash.hamming(f[:, None, 0], f[:, None, 1], f[None, :, 0], f[None, :, 1])
+    want = closure([(int(i), int(j)) for i, j in zip(*np.where(np.triu(d <= simhash.FAR, 1)), strict=True)])
+    rows = [(i, *r) for i, r in enumerate(f.view(np.int64).tolist())]
+    got = closure((r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame(rows, "doc_id long, f0 long, f1 long")).collect())
+    assert got == want and len(set(want.values())) == 10
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (200, 199), (200, 199)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in closure(edges).items() if k != v}
 
 
+def test_the_row_that_stays_is_the_one_compared(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    # two texts of one id, each with a copy under an id of its own, and an id with a text and an empty one
+    rows = [r for k in range(0, 60, 3) for r in ((k, text(k)), (k, text(k + 1)), (k + 1, text(k)), (k + 2, text(k + 1)))]
+    rows += [r for k in range(60, 80, 2) for r in ((k, text(k)), (k, ""), (k + 1, text(k)))]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = [r.text for r in kept if r.text]
+    assert len({r.doc_id for r in kept}) == len(kept) and len(texts) == len(set(texts))
+    assert set(texts) == {t for _, t in rows if t}  # one copy of each text is left
+
+
 def test_odd_rows(spark, odd, none):
     got = {(r.doc_id, r.group_id, r.keep) for r in simhash.groups(odd)[0].collect()}
     assert got == {(1, 1, True), (2, 1, False), (5, 5, True), (6, 5, False)}
