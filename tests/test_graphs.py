@@ -113,3 +113,30 @@ def test_strongest_takes_the_first_relation_of_ties(spark):
     r = relational.strongest(e).collect()
     assert [(x.confidence, x.relation) for x in r] == [(0.9, "BUILDS")]
     assert relational.symbol_exists(n, "a") and not relational.symbol_exists(n, "q")
+
+
+def beyond(*_):
+    raise ValueError("beyond the ceilings")
+
+
+def odd(spark):
+    """Two parts with loops, parallel and opposite edges, ties, a node alone, and edges that leave the nodes."""
+    pairs = [(1, 2), (2, 3), (3, 4), (1, 5), (5, 3), (4, 1), (6, 6), (7, 8), (8, 7), (7, 9), (2, 3), (4, 99), (98, 1)] + [(1, x) for x in range(20, 32)]
+    ids = spark.createDataFrame([(x,) for x in [*range(1, 11), *range(20, 32), 5]], "id long")
+    return ids, spark.createDataFrame([(a, b, f"R{k % 3}", 1.0, [1.0, 0.3, 0.7][k % 3]) for k, (a, b) in enumerate(pairs)], "src long, dst long, relation string, weight double, confidence double")
+
+
+@pytest.mark.parametrize("kind", ["betweenness", "closeness"])
+def test_centrality_beyond_the_ceilings(spark, monkeypatch, kind):
+    n, e = odd(spark)
+    want = {r.id: r.value for r in graphs.centrality(n, e, kind).collect()}
+    monkeypatch.setattr(graphs, "bounded", beyond)
+    got = {r.id: r.value for r in graphs.centrality(n, e, kind).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-12) for x in want) and max(want.values()) > 0
+
+
+def test_centrality_of_more_nodes_than_the_ceiling(spark):
+    ids = spark.range(graphs.CEILING_NODES + 100)
+    star = ids.where("id > 0").selectExpr("id as src", "0L as dst", "'R' as relation", "1.0D as weight", "1.0D as confidence")
+    got = {r.id: r.value for r in graphs.centrality(ids, star, "closeness").collect()}
+    assert len(got) == graphs.CEILING_NODES + 100 and got[0] == 1.0 and got[1] == 0.0
