@@ -140,3 +140,18 @@ def test_centrality_of_more_nodes_than_the_ceiling(spark):
     star = ids.where("id > 0").selectExpr("id as src", "0L as dst", "'R' as relation", "1.0D as weight", "1.0D as confidence")
     got = {r.id: r.value for r in graphs.centrality(ids, star, "closeness").collect()}
     assert len(got) == graphs.CEILING_NODES + 100 and got[0] == 1.0 and got[1] == 0.0
+
+
+def test_communities_beyond_the_ceilings(spark, monkeypatch):
+    n, e = odd(spark)
+    want = graphs.communities(n, e)
+    monkeypatch.setattr(graphs, "bounded", beyond)
+    assert graphs.communities(n, e) == want and len(want) > 4 and sum(map(len, want)) == 22
+    assert graphs.communities(n, e.limit(0)) == [[x] for x in [*range(1, 11), *range(20, 32)]]
+
+
+def test_greedy_modularity_of_a_hub(spark):
+    """A hub's neighbours join one after another without a look at all the others each time."""
+    e = [(0, x, 1.0) for x in range(1, 20_000)] + [(20_000, x, 1.0) for x in range(20_001, 40_000)] + [(0, 20_000, 1.0)]
+    got = graphs.greedy_modularity(list(range(40_000)), e, graphs._total([1.0] * len(e)))
+    assert got == [list(range(20_000)), list(range(20_000, 40_000))]
