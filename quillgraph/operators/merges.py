@@ -31,12 +31,15 @@ def upsert_edges(stored: DataFrame, batch: DataFrame, nodes: DataFrame) -> tuple
     """
     ids = nodes.select("id", "uid")
     a, b = (ids.select(F.col("uid").alias(f"{x}_uid"), F.col("id").alias(x)) for x in ("src", "dst"))
-    placed = batch.join(a, "src_uid", "left").join(b, "dst_uid", "left")
-    missing = placed.where("src is null or dst is null").select(*batch.columns)
-    keep = ["src", "dst", "relation", "weight", "confidence", "source"]
-    rows = stored.select(*keep, F.lit(-1).cast("long").alias("seq")).unionByName(placed.where("src is not null and dst is not null").select(*keep, F.col("seq").cast("long")))
-    first = F.min_by(F.struct("weight", "source"), F.struct(-F.col("confidence"), "seq")).alias("f")
-    merged = rows.groupBy("src", "dst", "relation").agg(F.max("confidence").alias("confidence"), first)
+    missing = batch.join(a, "src_uid", "left").join(b, "dst_uid", "left").where("src is null or dst is null").select(*batch.columns)
+    first = lambda order: F.min_by(F.struct("weight", "source"), order).alias("f")
+    # rows of a pair meet once before they are placed; what waits is the first of each, with its place in the order
+    order = F.struct((-F.col("confidence")).alias("c"), F.col("seq").cast("long").alias("seq"))
+    each = batch.select("src_uid", "dst_uid", "relation", "weight", "source", "confidence", order.alias("o")).repartition("src_uid", "dst_uid", "relation")
+    each = each.groupBy("src_uid", "dst_uid", "relation").agg(F.max("confidence").alias("confidence"), first("o"), F.min("o").alias("o"))
+    placed = each.join(a, "src_uid").join(b, "dst_uid").select("src", "dst", "relation", "f.weight", "confidence", "f.source", "o")
+    rows = stored.select("src", "dst", "relation", "weight", "confidence", "source", F.struct((-F.col("confidence")).alias("c"), F.lit(-1).cast("long").alias("seq")).alias("o")).unionByName(placed)
+    merged = rows.groupBy("src", "dst", "relation").agg(F.max("confidence").alias("confidence"), first("o"))
     return merged.select("src", "dst", "relation", "f.weight", "confidence", "f.source"), missing
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
 from . import graphs, relational, vectors
 
 SIGNALS = ("vector", "centrality", "confidence", "recency")
@@ -45,7 +46,8 @@ def mtimes(nodes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     mine = nodes if ids is None else relational.by_ids(nodes, ids)
     files = nodes.where("type = 'file'").select(F.col("uid").alias("_file"), own.alias("_mtime"))
     rows = mine.select("id", own.alias("_own"), F.get_json_object("attrs", "$.file_uid").alias("_owner"))
-    return rows.join(files, F.col("_owner") == F.col("_file"), "left").select("id", F.coalesce("_own", "_mtime").alias("mtime"))
+    # few files own many nodes, so rows aren't gathered by owner if the files are few
+    return rows.join(small(files), F.col("_owner") == F.col("_file"), "left").select("id", F.coalesce("_own", "_mtime").alias("mtime"))
 
 
 def recency(now: float, half_life_days: float = 30.0):
