@@ -155,3 +155,28 @@ def test_greedy_modularity_of_a_hub(spark):
     e = [(0, x, 1.0) for x in range(1, 20_000)] + [(20_000, x, 1.0) for x in range(20_001, 40_000)] + [(0, 20_000, 1.0)]
     got = graphs.greedy_modularity(list(range(40_000)), e, graphs._total([1.0] * len(e)))
     assert got == [list(range(20_000)), list(range(20_000, 40_000))]
+
+
+def test_pagerank_shuffles_no_links_in_a_round(spark, tmp_path):
+    from quillgraph.session import bucketed
+
+    links = bucketed(spark.range(100).selectExpr("id as src", "id + 1 as dst"), "src", 8)
+    plan = links.join(spark.range(10).withColumnRenamed("id", "src").hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(src") == 1
+
+
+def test_shortest_path_against_brute_force(spark):
+    import itertools
+    import random
+
+    r = random.Random(3)
+    pairs = sorted({(r.randrange(1, 15), r.randrange(1, 15)) for _ in range(26)})
+    n, e = spark.range(1, 16), spark.createDataFrame([(a, b, "R", 1.0, 1.0) for a, b in pairs], "src long, dst long, relation string, weight double, confidence double")
+    lens, known = [], set(pairs)
+    for a, b in [(1, 9), (2, 14), (5, 3), (7, 15), (11, 4)]:
+        some = [(a, *mid, b) for k in range(4) for mid in itertools.product(range(1, 15), repeat=k) if all(x in known for x in itertools.pairwise((a, *mid, b)))]
+        want = min(some, key=lambda p: (len(p), p)) if some else None
+        got = graphs.shortest_path(n, e, a, b, 4)
+        assert (tuple(got) if got else None) == want
+        lens.append(len(got or []))
+    assert max(lens) >= 3 and min(lens) == 0

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -348,3 +349,50 @@ def test_subtokens_in_the_engine_and_in_python_agree(spark):
         want = [float(r.b.count(k)) for k in range(64)]
         norm = math.sqrt(sum(x * x for x in want)) or 1.0
         assert r.v == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
+def test_a_query_builds_only_the_tables_it_reads(spark, sf):
+    """And shuffles get partitions by the bytes of the tables."""
+    from quillgraph import session
+
+    at = f"{sf}/../sf0.01"
+    G._BUILT.clear()
+    assert G.from_tables(spark, at).nodes.count() and [k[2] for k in G._BUILT] == ["nodes"]
+    assert G.from_tables(spark, at).edges.count() and [k[2] for k in G._BUILT] == ["nodes", "edges"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        session.fit(spark, *["/root/testdata/sf0.1/lineitem.parquet"] * 20)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 40 > int(before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_top_k_all_moves_rows_once(spark):
+    """No row is repeated for each block, whatever the number of blocks."""
+    df = spark.createDataFrame([(i, 2, [1.0, float(i % 7)], "1") for i in range(200)], "node_id long, dim int, vector array<float>, type string")
+    plan = vectors.top_k_all(df, 3, None, block=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_sales_of_a_pair_meet_before_they_are_placed(spark):
+    nodes = spark.createDataFrame([(1, "a"), (2, "b")], "id long, uid string")
+    rows = [("a", "b", "R", float(k), 0.5 if k % 2 else 0.9, f"s{k}", k) for k in range(6)] + [("a", "x", "R", 1.0, 1.0, "s", 9)]
+    batch = spark.createDataFrame(rows, "src_uid string, dst_uid string, relation string, weight double, confidence double, source string, seq long")
+    stored = spark.createDataFrame([(1, 2, "R", 7.0, 0.9, "old", None, None)], G.EDGES)
+    got, missing = merges.upsert_edges(stored, batch, nodes)
+    assert [(r.weight, r.confidence, r.source) for r in got.collect()] == [(7.0, 0.9, "old")] and missing.count() == 1
+    got, _ = merges.upsert_edges(stored.limit(0), batch, nodes)
+    assert [(r.weight, r.confidence, r.source) for r in got.collect()] == [(0.0, 0.9, "s0")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate")
+
+
+def test_tokens_are_counted_in_pieces(spark, monkeypatch):
+    text = "fooBar a_b fooBar HTTPServer 12 x9Y " * 50
+    assert [w for p in T.words_of(text) for w in p] == re.findall(T.IDENTIFIER, text) and list(T.words_of(None)) == []
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    whole = df.select(T.subtokens(F.col("t")).alias("s")).select(F.size("s").alias("n"), F.size(F.array_distinct("s")).alias("k")).collect()
+    got = df.select(T.subtoken_counts(F.col("t")).alias("c")).select("c.tokens", "c.kinds").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in whole] and got[0].tokens == 800
+    monkeypatch.setattr(T, "PIECE_WORDS", 7)
+    assert max(map(len, T.words_of(text))) == 7
